@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from strandframe.llm.chat_format import format_chats, parse_chats
+from strandframe.llm.packing import pack_sequences
 from strandframe.llm.sharding import ShardStore
+from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.url_filter import filter_urls
 from strandframe.runtime import read_table, shared_dir
 
@@ -22,6 +26,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in 22 shards, are compacted, and are read back by the manifest."""
     store = ShardStore(spark, shared_dir(spark, "shards"), BASE_BYTES, FANOUT, TARGET_BYTES)
@@ -58,11 +66,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_token_counts": op3_token_counts,
         "op5_sharding": op5_sharding,
         "op7_chat_format": op7_chat_format,
+        "op9_packing": op9_packing,
     }
 
 
