@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from strandframe.llm.chat_format import format_chats, parse_chats
+from strandframe.llm.fingerprints import edit_check
 from strandframe.llm.packing import pack_sequences
 from strandframe.llm.sharding import ShardStore
 from strandframe.llm.token_counts import count_tokens
@@ -70,6 +71,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_check(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op5_sharding": op5_sharding,
         "op7_chat_format": op7_chat_format,
         "op9_packing": op9_packing,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
