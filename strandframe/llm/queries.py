@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from strandframe.llm.chat_format import format_chats, parse_chats
+from strandframe.llm.decontamination import contamination
 from strandframe.llm.fingerprints import edit_check
 from strandframe.llm.packing import pack_sequences
 from strandframe.llm.sharding import ShardStore
@@ -27,6 +28,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -78,6 +85,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
         "op5_sharding": op5_sharding,
         "op7_chat_format": op7_chat_format,
@@ -107,6 +115,29 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 """
 
 
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM iw), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+), hits AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw USING (n, g)
+), words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def _op5() -> str:
     """The same merges in SQL: one level after the other, as far as sizes of 2**62 bytes."""
     tier = f"(CASE WHEN b < {BASE_BYTES} THEN 0 ELSE CAST(floor(ln(b / {BASE_BYTES}.0) / ln({FANOUT}) + 1e-9) AS INTEGER) + 1 END)"
@@ -148,4 +179,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op5_sharding": _op5(), "op7_chat_format": _OP7}
+    return {"op1_url_filter": _OP1, "op2_decontamination": _OP2, "op5_sharding": _op5(), "op7_chat_format": _OP7}

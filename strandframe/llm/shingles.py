@@ -39,11 +39,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and the number of words of each text."""
+def words_of(texts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Hashes of all words, text after text, the number of words of each text, where
+    each word begins and ends, and the lower-cased bytes that these places refer to.
+
+    ``between`` marks the bytes that are not part of a word; it must hold the newline.
+    """
     buf = b"\n".join(texts).lower() + b"\n"
     data = np.frombuffer(buf, np.uint8)
-    white = _WHITE[data]
+    white = between[data]
     edge = np.flatnonzero(np.diff(white, prepend=True))  # words begin and end in turn
     begin, end = edge[0::2], edge[1::2]
     up, down = _powers(len(data) + 1)
@@ -53,7 +57,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = mix((sums[end] - sums[begin]) * down[begin])
     until = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     counts = np.diff(np.searchsorted(begin, until), prepend=0)
-    return words, counts
+    return words, counts, begin, end, buf
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of words between white space."""
+    return words_of(texts, _WHITE)[:2]
 
 
 def shingle_hashes(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
