@@ -10,6 +10,7 @@ import public_tokenizers
 from strandframe.llm.chat_format import format_chats, parse_chats
 from strandframe.llm.decontamination import contamination
 from strandframe.llm.fingerprints import edit_check
+from strandframe.llm.jaccard_join import jaccard_components
 from strandframe.llm.packing import pack_sequences
 from strandframe.llm.sharding import ShardStore
 from strandframe.llm.token_counts import count_tokens
@@ -38,6 +39,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in 22 shards, are compacted, and are read back by the manifest."""
     store = ShardStore(spark, shared_dir(spark, "shards"), BASE_BYTES, FANOUT, TARGET_BYTES)
@@ -87,6 +92,7 @@ def queries() -> dict:
         "op1_url_filter": op1_url_filter,
         "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sharding": op5_sharding,
         "op7_chat_format": op7_chat_format,
         "op9_packing": op9_packing,
@@ -138,6 +144,23 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN c cx ON cx.doc_id = x.doc_id JOIN c cy ON cy.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (min(cx.n) + min(cy.n) - count(*))
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def _op5() -> str:
     """The same merges in SQL: one level after the other, as far as sizes of 2**62 bytes."""
     tier = f"(CASE WHEN b < {BASE_BYTES} THEN 0 ELSE CAST(floor(ln(b / {BASE_BYTES}.0) / ln({FANOUT}) + 1e-9) AS INTEGER) + 1 END)"
@@ -179,4 +202,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_decontamination": _OP2, "op5_sharding": _op5(), "op7_chat_format": _OP7}
+    return {"op1_url_filter": _OP1, "op2_decontamination": _OP2, "op4_ngram_jaccard_join": _OP4, "op5_sharding": _op5(), "op7_chat_format": _OP7}
