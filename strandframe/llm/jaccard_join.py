@@ -26,9 +26,9 @@ Everything is exact but for hash collisions (56 bits between the two sets of a p
 Groups are bounded by chunks of CHUNK candidates; what a task holds is a share of
 the shingles by hash range. Written tables in the shared folder cut the lineage.
 
-Null and empty texts (no words) have size 0 and are linked with nothing. Rows with a
-repeated id are documents of their own; a null id is never a class's name, and a
-class of null ids alone has a null name and no links. Texts are read whole; extra
+Null and empty texts (no words) have size 0 and are linked with nothing. Rows that
+repeat an id are one document: it is linked by any of its texts. A null id is never a
+class's name, and a class of null ids alone has a null name and no links. Texts are read whole; extra
 columns are not read; an empty table gives an empty result.
 """
 
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.components import as_numpy, components
@@ -235,18 +235,20 @@ class SetTrie:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lead, salt, kind, rep, n, tokens), sorted: a class, then its candidates' rows."""
-    lead, probe, size = None, None, 0
+    lead = None
+    probes: list[tuple[np.ndarray, int]] = []  # several only where an id is repeated with other texts
     reps: list[int] = []
     sizes: list[int] = []
     sets: list[np.ndarray] = []
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int]] = []
 
     def close() -> None:
-        if probe is None or not reps:
+        if not reps:
             return
-        need = [-(-NUM * (size + n) // (NUM + DEN)) for n in sizes]
-        for i in SetTrie(sets).overlaps(probe, need):
-            found.append((*sorted((lead[0], reps[i])), i))
+        trie = SetTrie(sets)
+        for probe, size in probes:
+            need = [-(-NUM * (size + n) // (NUM + DEN)) for n in sizes]
+            found.extend(tuple(sorted((lead[0], reps[i]))) for i in trie.overlaps(probe, need))
 
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
@@ -255,10 +257,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 reps, sizes, sets = [], [], []
                 if lead != (a, salt):
-                    lead, probe = (a, salt), None
+                    lead, probes = (a, salt), []
             tokens = np.frombuffer(t, np.uint64)
             if kind == 0:
-                probe, size = np.sort(tokens), n
+                probes.append((np.sort(tokens), n))
             else:
                 reps.append(rep)
                 sizes.append(n)
@@ -359,6 +361,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return JaccardJoin(docs, id_col, text_col, k).component_of()
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """``docs`` with one document of each component: the one of its least id.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    named = jaccard_components(docs.select(id_col, text_col), id_col, text_col, k)
+    keep = named.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast("long").alias("_keep")).distinct()
+    own = docs.withColumn("_keep", F.col(id_col).cast("long"))
+    first = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), text_col)
+    kept = own.join(keep, "_keep", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> tuple[DataFrame, DataFrame]:
     """All links between class representatives, and the membership (id, rep) of documents."""
     join = JaccardJoin(docs, id_col, text_col, k)

@@ -11,7 +11,9 @@ from strandframe.llm.chat_format import format_chats, parse_chats
 from strandframe.llm.decontamination import contamination
 from strandframe.llm.fingerprints import edit_check
 from strandframe.llm.jaccard_join import jaccard_components
+from strandframe.llm.language_id import identify, train
 from strandframe.llm.packing import pack_sequences
+from strandframe.llm.quality import fit, scored, with_features
 from strandframe.llm.sharding import ShardStore
 from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.url_filter import filter_urls
@@ -64,6 +66,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; a null id is in no held-out part."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = train(docs.where((_remainder(5) != 0) & F.col("doc_id").isNotNull()))
+    found = identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
@@ -79,6 +93,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_features(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    folder = shared_dir(spark, "quality")
+    rows.write.parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    model = fit(rows.where(_remainder(3) != 1), read_table(spark, sf_dir, "labels"))
+    return scored(rows, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -94,7 +117,9 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sharding": op5_sharding,
+        "op6_language_id": op6_language_id,
         "op7_chat_format": op7_chat_format,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_fingerprints": op10_fingerprints,
     }
