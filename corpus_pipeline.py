@@ -1,7 +1,76 @@
-"""Corpus pipeline; its stages follow as their operators are finished."""
-STAGES = []
+"""A corpus pipeline of five stages, each a step of ``documents`` towards packed ids.
+
+Every stage but the last returns the columns of ``documents``; each works on all
+rows that its predecessor kept. Null texts go with the first stage (no language);
+an empty table stays empty; extra columns pass through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.llm.decontamination import decontaminate
+from strandframe.llm.jaccard_join import keep_one
+from strandframe.llm.language_id import UNDETERMINED, identify, train
+from strandframe.llm.packing import pack_sequences
+from strandframe.llm.quality import fit, scored, with_features
+from strandframe.runtime import read_table, shared_dir
+
+#: Documents whose language is less likely than this are rejected.
+LEAST_LANGUAGE = 0.5
+#: Documents whose quality is less likely than this are rejected.
+LEAST_QUALITY = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns languages from the documents that name one; rejects those without a clear one."""
+    found = identify(docs, train(docs))
+    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns quality from the labelled ones among the documents; rejects the rest's low end."""
+    rows = with_features(docs)
+    stats = rows.select("doc_id", "_features")
+    folder = shared_dir(spark, "quality")
+    stats.write.parquet(folder)
+    model = fit(spark.read.schema(stats.schema).parquet(folder), read_table(spark, sf_dir, "labels"))
+    return scored(rows, model).where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes every document with a passage of the benchmark."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 ids."""
+    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality", quality),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Trained models and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = shared_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
