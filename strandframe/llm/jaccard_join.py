@@ -47,7 +47,7 @@ from strandframe.llm.shingles import shingle_sets
 from strandframe.llm.token_counts import slices
 from strandframe.runtime import shared_dir, ship
 
-SLICE_BYTES, FLUSH, CHUNK, STAR_ROUNDS = 1 << 20, 2_000_000, 256, 3
+SLICE_BYTES, FLUSH, CHUNK, STAR_ROUNDS = 1 << 20, 1_000_000, 256, 3
 NUM, DEN = 3, 4  # t = NUM / DEN
 
 
@@ -88,16 +88,18 @@ def _scatter(k: int, buckets: int):
             order = np.argsort(bucket, kind="stable")
             tokens, owner = tokens[order], owner[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             table = np.frombuffer(b"".join(keys), "V16")
+            sizes = np.asarray([len(s) for s in held], np.uint32)
             for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if b > a:
                     used, own = np.unique(owner[a:b], return_inverse=True)
                     rows[0].append(n)
                     rows[1].append(table[used].tobytes())
+                    rows[4].append(sizes[used].tobytes())
                     rows[2].append(np.ascontiguousarray(tokens[a:b]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
                     rows[3].append(own.astype(np.uint16).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "tokens", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "tokens", "owners", "sizes"])
 
         for b in batches:
             raw = b.column(0).cast(pa.binary()).to_pylist()
@@ -128,59 +130,98 @@ def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order][fresh], number
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all shingles of a range: those of several classes, back to each class with their df."""
-    keys, tokens, owners, base = [], [], [], 0
-    for b in batches:
-        for k, t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            wide = np.zeros((len(t) // 7, 8), np.uint8)
-            wide[:, :7] = np.frombuffer(t, np.uint8).reshape(-1, 7)
-            keys.append(np.frombuffer(k, "V16"))
-            tokens.append(wide.view(np.uint64).ravel())
-            owners.append(np.frombuffer(o, np.uint16).astype(np.uint32) + np.uint32(base))
-            base += len(keys[-1])
-    if not tokens:
-        return
-    table, number = distinct_keys(np.concatenate(keys))
-    token, owner = np.concatenate(tokens), np.concatenate(owners)
-    del tokens, owners, keys
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    token, cls = token[many], number[owner[many]]
-    if not len(token):
-        return
-    order = np.lexsort((cls, token))
-    token, cls = token[order], cls[order]
-    fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-    token, cls = token[fresh], cls[fresh]
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    df = np.repeat(np.diff(edge), np.diff(edge))
-    keep = df > 1
-    token, cls, df = token[keep], cls[keep], df[keep].astype(np.uint32)
-    order = np.argsort(cls, kind="stable")
-    token, cls, df = token[order], cls[order], df[order]
-    edge = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1], [True]))).tolist() if len(cls) else [0]
-    for part in range(0, len(edge) - 1, 5000):
-        spans = list(zip(edge[part : part + 5000], edge[part + 1 : part + 5001], strict=False))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([table[cls[a]].tobytes() for a, _ in spans], pa.binary()), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([df[a:b].tobytes() for a, b in spans], pa.binary())],
-            ["key", "tokens", "dfs"],
-        )
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in columns sorted together."""
+    fresh = np.zeros(len(sorted_columns[0]), bool)
+    fresh[:1] = True
+    for c in sorted_columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _count(parts: int):
+    """Of all shingles of a range: those of several classes, with df, to where each class is put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, tokens, owners, base = [], [], [], [], 0
+        for b in batches:
+            for k, t, o, n in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                wide = np.zeros((len(t) // 7, 8), np.uint8)
+                wide[:, :7] = np.frombuffer(t, np.uint8).reshape(-1, 7)
+                keys.append(np.frombuffer(k, "V16"))
+                sizes.append(np.frombuffer(n, np.uint32))
+                tokens.append(wide.view(np.uint64).ravel())
+                owners.append(np.frombuffer(o, np.uint16).astype(np.uint32) + np.uint32(base))
+                base += len(keys[-1])
+        if not tokens:
+            return
+        table, number = distinct_keys(np.concatenate(keys))
+        size = np.zeros(len(table), np.uint32)
+        size[number] = np.concatenate(sizes)
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        del tokens, owners, keys
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        n = np.diff(np.append(_starts(token), len(token)))
+        many = np.repeat(n > 1, n)
+        token, cls = token[many], number[owner[many]]
+        if not len(token):
+            return
+        order = np.lexsort((cls, token))
+        token, cls = token[order], cls[order]
+        fresh = _starts(token, cls)
+        token, cls = token[fresh], cls[fresh]
+        n = np.diff(np.append(_starts(token), len(token)))
+        df = np.repeat(n, n)
+        keep = df > 1
+        token, cls, df = token[keep], cls[keep], df[keep].astype(np.uint32)
+        if not len(token):
+            return
+        dest = (table.view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((cls, dest[cls]))
+        token, cls, df = token[order], cls[order], df[order]
+        to = dest[cls]
+        at = _starts(to).tolist()
+        rows: tuple[list, ...] = ([], [], [], [], [], [])
+        for a, b in zip(at, [*at[1:], len(to)], strict=True):
+            first = _starts(cls[a:b])
+            own = cls[a:b][first]
+            rows[0].append(int(to[a]))
+            rows[1].append(table[own].tobytes())
+            rows[2].append(size[own].tobytes())
+            rows[3].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+            rows[4].append(token[a:b].tobytes())
+            rows[5].append(df[a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["dest", "keys", "sizes", "counts", "tokens", "dfs"])
+
+    return run
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that may have links: rep, n, m shared shingles in global order."""
+    """Classes that may have links: key, n, m shared shingles in global order."""
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
     for b in batches:
-        rows: list[tuple] = []
-        for rep, n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            token = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-            if DEN * len(token) >= NUM * n:
-                df = np.frombuffer(b"".join(p["dfs"] for p in parts), np.uint32)
-                rows.append((rep, n, len(token), token[np.lexsort((token, df))].tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["rep", "n", "m", "tokens"])
+        for i, kind in enumerate(("V16", np.uint32, np.uint32, np.uint64, np.uint32)):
+            cols[i] += [np.frombuffer(x, kind) for x in b.column(i + 1).to_pylist()]
+    if not cols[0]:
+        return
+    keys, sizes, counts, token, df = (np.concatenate(c) for c in cols)
+    table, number = distinct_keys(keys)
+    size = np.zeros(len(table), np.int64)
+    size[number] = sizes
+    cls = np.repeat(number, counts)
+    shared = np.bincount(cls, minlength=len(table))
+    able = DEN * shared >= NUM * size
+    keep = able[cls]
+    token, df, cls = token[keep], df[keep], cls[keep]
+    order = np.lexsort((token, df, cls))
+    token, cls = token[order], cls[order]
+    at = _starts(cls).tolist() if len(cls) else []
+    ends = [*at[1:], len(cls)]
+    for i in range(0, len(at), 2000):
+        own = cls[at[i : i + 2000]]
+        sets = [token[a:b].tobytes() for a, b in zip(at[i : i + 2000], ends[i : i + 2000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([table[c].tobytes() for c in own], pa.binary()), pa.array(size[own]), pa.array(shared[own]), pa.array(sets, pa.binary())], ["key", "n", "m", "tokens"])
 
 
 def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,12 +323,11 @@ class JaccardJoin:
         base = _texts(docs, id_col, text_col)
         self.sets = self._kept(base.mapInArrow(_sets(k), "_id long, n long, key binary"), "sets")
         self.classes = self._kept(self.sets.where("n > 0").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes")
-        sent = base.select("_text").where("_text <> ''").mapInArrow(_scatter(k, self.parts), "bucket int, keys binary, tokens binary, owners binary")
-        counted = sent.repartitionById(self.parts, "bucket").mapInArrow(_count, "key binary, tokens binary, dfs binary")
-        gathered = counted.groupBy("key").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts"))
-        near = gathered.join(self.classes, "key").select("rep", "n", "parts")
-        self.near = self._kept(near.mapInArrow(_assemble, "rep long, n long, m long, tokens binary"), "near")
-        del sent, counted, gathered, near
+        sent = base.select("_text").where("_text <> ''").mapInArrow(_scatter(k, self.parts), "bucket int, keys binary, tokens binary, owners binary, sizes binary")
+        counted = sent.repartitionById(self.parts, "bucket").mapInArrow(_count(self.parts), "dest int, keys binary, sizes binary, counts binary, tokens binary, dfs binary")
+        able = counted.repartitionById(self.parts, "dest").mapInArrow(_assemble, "key binary, n long, m long, tokens binary")
+        self.near = self._kept(able.join(self.classes.select("key", "rep"), "key").select("rep", "n", "m", "tokens"), "near")
+        del sent, counted, able
         # What the counting has shuffled is not read again; let Spark's cleaner have it.
         self.spark.sparkContext._jvm.System.gc()
         self.prefix = self.near.mapInArrow(_prefix, "token long, rep long, n long, left long")
