@@ -369,27 +369,30 @@ class JaccardJoin:
         """(rep, label) of all classes in components of two or more."""
         found = self.spark.createDataFrame([], "a long, b long")
         labels = self.spark.createDataFrame([], "node long, label long")
+        entries = self.prefix.withColumn("label", F.col("rep"))
         for step in range(STAR_ROUNDS + 1):
-            entries = self.prefix
-            if step:
-                entries = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            else:
-                entries = entries.withColumn("label", F.col("rep"))
-            if step < STAR_ROUNDS:
-                pairs = self._stars(entries, step)
-            else:
-                open_tokens = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-                left = entries.join(open_tokens, "token", "left_semi")
-                other = left.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("label").alias("label2"))
-                pairs = left.join(other, "token").where("rep < rep2 and label <> label2").where(self._fits("n", "n2", "left", "left2"))
-                pairs = pairs.select(F.col("rep").alias("lead"), F.col("rep2").alias("rep")).distinct()
+            pairs = self._stars(entries, step) if step < STAR_ROUNDS else self._rest(entries)
             new = self._kept(self._verified(pairs), f"links{step}")
-            if new.isEmpty():
-                continue
-            found = found.unionByName(new)
-            labels = self._kept(components(found), f"labels{step}")
+            if not new.isEmpty():
+                found = found.unionByName(new)
+                labels = self._kept(components(found), f"labels{step}")
+            if step == STAR_ROUNDS:
+                break
+            # Only shingles whose classes are not yet all in one component go on.
+            entries = entries.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            open_tokens = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+            entries = self._kept(entries.join(open_tokens, "token", "left_semi"), f"open{step}")
+            self.spark.sparkContext._jvm.System.gc()  # for the cleaner, as above
+            if entries.isEmpty():
+                break
         return labels.withColumnRenamed("node", "rep")
 
+    def _rest(self, entries: DataFrame) -> DataFrame:
+        """(lead, rep): all pairs of different components that share a prefix shingle."""
+        other = entries.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("label").alias("label2"))
+        pairs = entries.join(other, "token").where("rep < rep2 and label <> label2").where(self._fits("n", "n2", "left", "left2"))
+        return pairs.select(F.col("rep").alias("lead"), F.col("rep2").alias("rep")).distinct()
+
     def component_of(self) -> DataFrame:
         """One row for each document: id, n_shingles, component_id (its least id)."""
         named = self.classes.join(self.labels(), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
