@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Settings of Arrow batches: key, Spark's default, ours.
+ARROW = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")]
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -30,8 +32,12 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application.
 
     The sources (some 200 KB) go through Spark's own file server, so executors
-    that join later or replace lost ones get them as well.
+    that join later or replace lost ones get them as well. Batches of text are kept
+    small unless the session says otherwise: two workers share an executor's memory.
     """
+    for key, default, ours in ARROW:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
