@@ -159,3 +159,17 @@ def scored(features: DataFrame, model: Discriminant) -> DataFrame:
 
     fields = [T.StructField("_score", T.DoubleType()) if f.name == "_features" else f for f in features.schema.fields]
     return features.mapInArrow(run, T.StructType(fields))
+
+
+def scored_texts(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
+    """``docs`` with _score, statistics and score in one pass over the texts."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.asarray([statistics(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(got))], [*b.schema.names, "_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
