@@ -15,7 +15,7 @@ from strandframe.llm.decontamination import decontaminate
 from strandframe.llm.jaccard_join import keep_one
 from strandframe.llm.language_id import UNDETERMINED, identify, train
 from strandframe.llm.packing import pack_sequences
-from strandframe.llm.quality import fit, scored, with_features
+from strandframe.llm.quality import fit, scored_texts, with_features
 from strandframe.runtime import read_table, shared_dir
 
 #: Documents whose language is less likely than this are rejected.
@@ -32,12 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns quality from the labelled ones among the documents; rejects the rest's low end."""
-    rows = with_features(docs)
-    stats = rows.select("doc_id", "_features")
+    stats = with_features(docs.select("doc_id", "text")).select("doc_id", "_features")
     folder = shared_dir(spark, "quality")
     stats.write.parquet(folder)
     model = fit(spark.read.schema(stats.schema).parquet(folder), read_table(spark, sf_dir, "labels"))
-    return scored(rows, model).where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    return scored_texts(docs, model).where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
