@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions.scalar import let
+
 NEXT, END = "<turn+>", "</turn>\n"
 
 
@@ -58,20 +60,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
     chats = rows.groupBy("_conv").agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
     # Each row with how it opens (a new block or the next part of one), its text and how it ends.
-    role, text = F.transform("_turns", lambda t: t["role"]), F.transform("_turns", lambda t: escape(t["text"]))
-    chats = chats.select("_conv", role.alias("_role"), text.alias("_text"))
-    same = lambda i, j: F.get("_role", i) == F.get("_role", j)
-    n = F.size("_role")
-    part = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.when((i > 0) & same(i, i - 1), F.lit(NEXT)).otherwise(F.concat(F.lit("<turn "), escape_role(F.get("_role", i)), F.lit(">"))).alias("open"),
-            F.get("_text", i).alias("text"),
-            F.when((i + 1 < n) & same(i, i + 1), F.lit("")).otherwise(F.lit(END)).alias("end"),
-            (F.get("_role", i) == loss_role).alias("loss"),
-        ),
-    )
-    chats = chats.select("_conv", part.alias("_part"))
+    def parts(t: Column) -> Column:
+        n = F.size(t)
+        same = lambda i, j: F.get(t, i)["role"] == F.get(t, j)["role"]
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(
+                F.when((i > 0) & same(i, i - 1), F.lit(NEXT)).otherwise(F.concat(F.lit("<turn "), escape_role(F.get(t, i)["role"]), F.lit(">"))).alias("open"),
+                escape(F.get(t, i)["text"]).alias("text"),
+                F.when((i + 1 < n) & same(i, i + 1), F.lit("")).otherwise(F.lit(END)).alias("end"),
+                (F.get(t, i)["role"] == loss_role).alias("loss"),
+            ),
+        )
+
     # Running lengths by a linear aggregation: (where the next part starts, spans so far).
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
 
@@ -81,11 +82,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         span = F.array(F.struct(start.alias("start"), size.alias("length")))
         return F.struct((start + size + F.length(p["end"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return chats.select(
-        F.col("_conv").alias(conv_col),
-        F.array_join(F.transform("_part", lambda p: F.concat(p["open"], p["text"], p["end"])), "").alias("formatted"),
-        F.aggregate("_part", zero, step)["spans"].alias("loss_spans"),
+    both = let(
+        parts(F.col("_turns")),
+        lambda p: F.struct(
+            F.array_join(F.transform(p, lambda x: F.concat(x["open"], x["text"], x["end"])), "").alias("formatted"),
+            F.aggregate(p, zero, step)["spans"].alias("loss_spans"),
+        ),
     )
+    return chats.select(F.col("_conv").alias(conv_col), both.alias("_b")).select(conv_col, "_b.formatted", "_b.loss_spans")
 
 
 def parse_chats(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
