@@ -4,8 +4,8 @@ Documents are sets of word shingles (five words; fewer words, but not none: all
 them as one). Equal sets are one class, named by its least id, so copies are never
 expanded. Classes are joined in these steps:
 
-1. Counts. Each task sends the shingle hashes of its classes (7 bytes and a 2-byte
-   class number each), cut by hash range, to the task that counts them. Shingles of
+1. Counts. Each task sends the shingle hashes of its classes (7 bytes each, class by
+   class), cut by hash range, to the task that counts them. Shingles of
    one class alone can't be shared; of all others the number of classes, df, comes
    back to each class. A class with fewer than t * size shared shingles has no links.
 2. Global order. The shared shingles of each class are ordered by (df, hash). Two
@@ -93,13 +93,13 @@ def _scatter(k: int, buckets: int):
             sizes = np.asarray([len(s) for s in held], np.uint32)
             for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if b > a:
-                    used, own = np.unique(owner[a:b], return_inverse=True)
+                    used, own = np.unique(owner[a:b], return_counts=True)  # in order, as its shingles are
                     rows[0].append(n)
                     rows[1].append(table[used].tobytes())
                     rows[4].append(sizes[used].tobytes())
                     rows[2].append(np.ascontiguousarray(tokens[a:b]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
-                    rows[3].append(own.astype(np.uint16).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "tokens", "owners", "sizes"])
+                    rows[3].append(own.astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "tokens", "counts", "sizes"])
 
         for b in batches:
             raw = b.column(0).cast(pa.binary()).to_pylist()
@@ -145,14 +145,15 @@ def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, tokens, owners, base = [], [], [], [], 0
         for b in batches:
-            for k, t, o, n in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for k, t, c, n in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 wide = np.zeros((len(t) // 7, 8), np.uint8)
                 wide[:, :7] = np.frombuffer(t, np.uint8).reshape(-1, 7)
                 keys.append(np.frombuffer(k, "V16"))
                 sizes.append(np.frombuffer(n, np.uint32))
                 tokens.append(wide.view(np.uint64).ravel())
-                owners.append(np.frombuffer(o, np.uint16).astype(np.uint32) + np.uint32(base))
-                base += len(keys[-1])
+                counts = np.frombuffer(c, np.uint32)
+                owners.append(np.repeat(np.arange(base, base + len(counts), dtype=np.uint32), counts))
+                base += len(counts)
         if not tokens:
             return
         table, number = distinct_keys(np.concatenate(keys))
@@ -323,7 +324,7 @@ class JaccardJoin:
         base = _texts(docs, id_col, text_col)
         self.sets = self._kept(base.mapInArrow(_sets(k), "_id long, n long, key binary"), "sets")
         self.classes = self._kept(self.sets.where("n > 0").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes")
-        sent = base.select("_text").where("_text <> ''").mapInArrow(_scatter(k, self.parts), "bucket int, keys binary, tokens binary, owners binary, sizes binary")
+        sent = base.select("_text").where("_text <> ''").mapInArrow(_scatter(k, self.parts), "bucket int, keys binary, tokens binary, counts binary, sizes binary")
         counted = sent.repartitionById(self.parts, "bucket").mapInArrow(_count(self.parts), "dest int, keys binary, sizes binary, counts binary, tokens binary, dfs binary")
         able = counted.repartitionById(self.parts, "dest").mapInArrow(_assemble, "key binary, n long, m long, tokens binary")
         self.near = self._kept(able.join(self.classes.select("key", "rep"), "key").select("rep", "n", "m", "tokens"), "near")

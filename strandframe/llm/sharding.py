@@ -140,11 +140,11 @@ class ShardStore:
         kept = rows.drop(arrival_col) if arrival_col else rows
         kept = rows.select(*kept.columns, (number.cast("long") + offset).alias("arrival"))
         kept.write.partitionBy("arrival").parquet(load)
-        return self.commit(held + self._new(load, by_arrival=True), seen)
+        return self.commit(held + self._new(load, kept.schema), seen)
 
-    def _new(self, path: str, by_arrival: bool, first: int = 0, last: int = 0) -> list[Run]:
+    def _new(self, path: str, schema: T.StructType, by_arrival: bool = True, first: int = 0, last: int = 0) -> list[Run]:
         """The shards or the run below a written folder, with rows and bytes as read back."""
-        written = self.spark.read.parquet(path)
+        written = self.spark.read.schema(schema).parquet(path)
         size = F.coalesce(F.sum(F.octet_length(self.size_col)).cast("long"), F.lit(0))
         if not by_arrival:
             r = written.agg(F.count("*").alias("n"), size.alias("b")).first()
@@ -186,8 +186,9 @@ class ShardStore:
     def _merge(self, run: Run, members: list[Run]) -> Run:
         path = f"{self.root}/data/{run.run_id}"
         files = -(-run.n_bytes // self.target) or 1
-        self.spark.read.parquet(*(m.path for m in members)).coalesce(files).write.parquet(path)
-        got = self._new(path, False, run.first_arrival, run.last_arrival)[0]
+        rows = self.spark.read.parquet(*(m.path for m in members))
+        rows.coalesce(files).write.parquet(path)
+        got = self._new(path, rows.schema, False, run.first_arrival, run.last_arrival)[0]
         if (got.n_rows, got.n_bytes) != (run.n_rows, run.n_bytes):
             raise RuntimeError(f"{path}: {got.n_rows} rows where {run.n_rows} were merged")
         return Run(run.run_id, run.first_arrival, run.last_arrival, run.tier, run.n_rows, run.n_bytes, path)

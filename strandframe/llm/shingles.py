@@ -71,11 +71,11 @@ def shingle_hashes(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarr
     A text of fewer words, but not none, has one shingle: all its words.
     """
     words, counts = word_hashes(texts)
-    n = len(words)
-    acc = np.zeros(max(n - k + 1, 0), np.uint64)
+    n = max(len(words) - k + 1, 0)  # windows, those over the end of a text included
+    acc = np.zeros(n, np.uint64)
     factor = np.uint64(1)
     for i in range(k):
-        acc += words[i : n - k + 1 + i] * factor
+        acc += words[i : n + i] * factor
         factor = np.uint64(int(factor) * _BASE % 2**64)
     first = np.cumsum(counts) - counts
     short = np.flatnonzero((counts > 0) & (counts < k))

@@ -65,6 +65,8 @@ class MergeTransducer:
             self.rank[vocab[letter]] = -1
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
+            if max(self.rank.get(x, r), self.rank.get(y, r)) >= r:
+                raise ValueError(f"merge {r} takes a token that comes after it")
             self.pair.setdefault((x, y), r)
             if z not in self.rank:
                 self.rank[z], self.split[z] = r, (x, y)
@@ -156,7 +158,7 @@ class MergeTransducer:
             if nxt is None:
                 continue
             t = self.token[nxt]
-            if met is None and t >= 0 and (self.fits(last, t) if last >= 0 else self.stands(t)):
+            if met is None and t >= 0 and self.stands(t) and (last < 0 or self.fits(last, t)):
                 met = (t, since)
             if self.inner[nxt]:
                 live.append((nxt, last, since))
