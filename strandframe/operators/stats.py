@@ -221,15 +221,32 @@ def binomial_tail(k: str, n: str, p: str) -> Column:
     return F.when(F.col(k) <= 0, 1.0).when(pp >= 1, 1.0).when(pp <= 0, 0.0).otherwise(F.least(tail, F.lit(1.0)))
 
 
+def ranks(values: DataFrame, group: list[str], value: str, ties: list[str], name: str = "rank", buckets: int = 128) -> DataFrame:
+    """Rows with their rank 1, 2, ... by value and ties within a group.
+
+    A group may hold a large part of all rows: its values are cut into buckets at
+    approximate quantiles, rows are ranked within buckets, and the rows of earlier
+    buckets are added. No task sorts a whole group.
+    """
+    probs = F.lit([i / buckets for i in range(1, buckets)])
+    cuts = values.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(20 * buckets))).alias("_cuts"))
+    held = values.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    sizes = held.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(value, *ties))
+    return held.join(sizes, [*group, "_b"]).withColumn(name, own + F.col("_before")).select(*values.columns, name)
+
+
 def quantile_normalise(values: DataFrame) -> DataFrame:
     """(row_id, col_id, q): each column's values replaced by the mean over columns of the
     values of the same rank; tied values get the mean of their ranks' means."""
     logged = values.select("row_id", "col_id", F.log2(1 + F.col("v")).alias("v"))
-    by = Window.partitionBy("col_id").orderBy("v", "row_id")
-    ranked = logged.withColumn("r", F.row_number().over(by))
+    ranked = ranks(logged, ["col_id"], "v", ["row_id"], "r")
     mean = ranked.groupBy("r").agg(F.avg("v").alias("m"))
-    tied = Window.partitionBy("col_id", "v")
-    return ranked.join(mean, "r").select("row_id", "col_id", F.avg("m").over(tied).alias("q"))
+    met = ranked.join(mean, "r")
+    tied = met.groupBy("col_id", "v").agg(F.avg("m").alias("q"))
+    return met.select("row_id", "col_id", "v").join(tied, ["col_id", "v"]).select("row_id", "col_id", "q")
 
 
 def separation(values: DataFrame) -> DataFrame:

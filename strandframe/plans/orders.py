@@ -22,8 +22,8 @@ def t1(spark, sf):
 
 @query("T2_rank_names", "SELECT event_id, 'Peak_' || row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS name FROM events")
 def t2(spark, sf):
-    w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return read_table(spark, sf, "events").select("event_id", F.concat(F.lit("Peak_"), F.row_number().over(w)).alias("name"))
+    e = read_table(spark, sf, "events").select("event_id", "event_type", (-F.col("value")).alias("down"))
+    return st.ranks(e, ["event_type"], "down", ["event_id"]).select("event_id", F.concat(F.lit("Peak_"), "rank").alias("name"))
 
 
 @query("T3_top_clusters", "SELECT p_type, n, round(n / CAST((SELECT count(*) FROM part) AS DOUBLE), 6) AS share FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 20)")
@@ -165,15 +165,15 @@ def w7(spark, sf):
 def w8(spark, sf):
     """Each chr's reads in an order of hashes, split in two halves."""
     p = S.peaks(spark, sf)
-    w = Window.partitionBy("chr").orderBy(F.xxhash64("ord", F.lit(17)), "ord")
-    half = F.bround(F.count("*").over(Window.partitionBy("chr")) / 2)
-    return p.select("ord", "chr", F.when(F.row_number().over(w) <= half, 1).otherwise(2).alias("replicate"))
+    dealt = st.ranks(p.select("ord", "chr", F.xxhash64("ord", F.lit(17)).alias("h")), ["chr"], "h", ["ord"])
+    half = p.groupBy("chr").agg(F.bround(F.count("*") / 2).alias("half"))
+    return dealt.join(half, "chr").select("ord", "chr", F.when(F.col("rank") <= F.col("half"), 1).otherwise(2).alias("replicate"))
 
 
 @query("W9_rank_naming", "SELECT o_orderkey, o_orderpriority || '_' || row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS name FROM orders")
 def w9(spark, sf):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return read_table(spark, sf, "orders").select("o_orderkey", F.concat_ws("_", "o_orderpriority", F.row_number().over(w)).alias("name"))
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", (-F.col("o_totalprice")).alias("down"))
+    return st.ranks(o, ["o_orderpriority"], "down", ["o_orderkey"]).select("o_orderkey", F.concat_ws("_", "o_orderpriority", "rank").alias("name"))
 
 
 @query("W10_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 5 AS batch FROM documents")

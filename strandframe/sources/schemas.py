@@ -20,7 +20,8 @@ MOTIF_BED = struct(chr=S, start=L, stop=L, name=S, score=I, strand=S, sequence=S
 #: Replicate-consistency output: 20 columns, of which chr, start, stop, q and summit are named.
 IDR = T.StructType([T.StructField({0: "chr", 1: "start", 2: "stop", 8: "q", 9: "peak"}.get(i, f"c{i + 1}"), L if i in (1, 2, 9) else D if i == 8 else S) for i in range(20)])
 EDGES = struct(node1=S, node2=S)
-SAMPLES = struct(GEO=S, SRX=S, cell_type=S, cell_name=S, title=S, SRR=S, Mostafavi=S, Mostafavi_cell_type=S)
+#: Read by position; the last two columns are other names of the sample and its cell type.
+SAMPLES = struct(GEO=S, SRX=S, cell_type=S, cell_name=S, title=S, SRR=S, alias=S, alias_cell_type=S)
 TSS = struct(gene_id=S, transcript_id=S, refseq_id=S, chr=S, TSS=L, strand=I, transcript_count=I, gene_name=S, transcript_type=S)
 CLUSTERS = struct(row_id=L, cluster=I)
 TF_LIST = struct(TF=S, Significant=B)
