@@ -18,8 +18,8 @@ from strandframe.llm.packing import pack_sequences
 from strandframe.llm.quality import fit, scored_texts, with_features
 from strandframe.runtime import read_table, shared_dir
 
-#: Documents whose language is less likely than this are rejected.
-LEAST_LANGUAGE = 0.5
+#: Documents whose language is less likely than this are rejected; short clean texts lie above it.
+LEAST_LANGUAGE = 0.35
 #: Documents whose quality is less likely than this are rejected.
 LEAST_QUALITY = 0.5
 
