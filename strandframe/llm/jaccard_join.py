@@ -359,41 +359,47 @@ class JaccardJoin:
         pairs = self.prefix.join(other, "token").where("rep < rep2").where(self._fits("n", "n2", "left", "left2"))
         return self._verified(pairs.select(F.col("rep").alias("lead"), F.col("rep2").alias("rep")).distinct())
 
-    def _stars(self, entries: DataFrame, seed: int) -> DataFrame:
-        """(lead, rep) for each class of each shingle: one leader a shingle, never all pairs."""
-        pick = F.min(F.struct("rep", "n", "left", "label")) if seed == 0 else F.min_by(F.struct("rep", "n", "left", "label"), F.xxhash64("rep", F.lit(seed)))
-        lead = entries.groupBy("token").agg(pick.alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        met = entries.join(lead.select("token", "l"), "token").where("label <> l.label").where(self._fits("n", "l.n", "left", "l.left"))
+    def _open(self, entries: DataFrame, seed: int) -> DataFrame:
+        """Entries of the shingles whose classes are not all of one label, with a leader ``l``.
+
+        The leaders are a written table, so the join with the entries has plain exchanges
+        on both sides and a hot shingle's entries can be split.
+        """
+        row = F.struct("rep", "n", "left", "label")
+        pick = F.min(row) if seed == 0 else F.min_by(row, F.xxhash64("rep", F.lit(seed)))
+        groups = entries.groupBy("token").agg(pick.alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        return entries.join(self._kept(groups.select("token", "l"), f"leaders{seed}"), "token")
+
+    def _stars(self, entries: DataFrame) -> DataFrame:
+        """(lead, rep) of each class and its shingles' leaders: n - 1 for n, never all pairs."""
+        met = entries.where("label <> l.label").where(self._fits("n", "l.n", "left", "l.left"))
         return met.select(F.least("rep", F.col("l.rep")).alias("lead"), F.greatest("rep", F.col("l.rep")).alias("rep")).distinct()
 
+    def _rest(self, entries: DataFrame) -> DataFrame:
+        """(lead, rep): all pairs of different components that share a prefix shingle."""
+        other = entries.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("label").alias("label2"))
+        pairs = entries.join(other, "token").where("rep < rep2 and label <> label2").where(self._fits("n", "n2", "left", "left2"))
+        return pairs.select(F.col("rep").alias("lead"), F.col("rep2").alias("rep")).distinct()
+
     def labels(self) -> DataFrame:
         """(rep, label) of all classes in components of two or more."""
         found = self.spark.createDataFrame([], "a long, b long")
         labels = self.spark.createDataFrame([], "node long, label long")
         entries = self.prefix.withColumn("label", F.col("rep"))
         for step in range(STAR_ROUNDS + 1):
-            pairs = self._stars(entries, step) if step < STAR_ROUNDS else self._rest(entries)
+            # Only shingles whose classes are not yet all in one component go on.
+            entries = self._kept(self._open(entries, step), f"open{step}")
+            if entries.isEmpty():
+                break
+            pairs = self._stars(entries) if step < STAR_ROUNDS else self._rest(entries)
             new = self._kept(self._verified(pairs), f"links{step}")
             if not new.isEmpty():
                 found = found.unionByName(new)
                 labels = self._kept(components(found), f"labels{step}")
-            if step == STAR_ROUNDS:
-                break
-            # Only shingles whose classes are not yet all in one component go on.
-            entries = entries.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            open_tokens = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-            entries = self._kept(entries.join(open_tokens, "token", "left_semi"), f"open{step}")
+            entries = entries.drop("label", "l").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             self.spark.sparkContext._jvm.System.gc()  # for the cleaner, as above
-            if entries.isEmpty():
-                break
         return labels.withColumnRenamed("node", "rep")
 
-    def _rest(self, entries: DataFrame) -> DataFrame:
-        """(lead, rep): all pairs of different components that share a prefix shingle."""
-        other = entries.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("label").alias("label2"))
-        pairs = entries.join(other, "token").where("rep < rep2 and label <> label2").where(self._fits("n", "n2", "left", "left2"))
-        return pairs.select(F.col("rep").alias("lead"), F.col("rep2").alias("rep")).distinct()
-
     def component_of(self) -> DataFrame:
         """One row for each document: id, n_shingles, component_id (its least id)."""
         named = self.classes.join(self.labels(), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
