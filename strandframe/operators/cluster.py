@@ -233,17 +233,21 @@ def _nth(items: list[int], size: int, i: int) -> list[int]:
     return out
 
 
-def smart_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n: int, pool: int = 2000) -> DataFrame:
+def smart_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n: int) -> DataFrame:
     """Per k the best choice of cuts and then, by residual, those that share no cut vertex
-    with any taken; filled up by residual. Looked for among the ``pool`` best."""
+    with any taken; filled up by residual. Choices are read in order, as far as needed."""
     rows = []
     for k in ks:
-        best = [(r.combo, r.residual) for r in scored_cuts(spark, tree, table, k).orderBy("residual", "combo").limit(pool).collect()]
-        taken = []
-        for c, r in best:
-            if len(taken) < n and not any(set(c) & set(t) for t, _ in taken):
-                taken.append((c, r))
-        taken += [x for x in best if x not in taken][: n - len(taken)]
+        taken: list[tuple] = []
+        others: list[tuple] = []
+        for r in scored_cuts(spark, tree, table, k).orderBy("residual", "combo").toLocalIterator():
+            if not any(set(r.combo) & set(c) for c, _ in taken):
+                taken.append((r.combo, r.residual))
+            elif len(others) < n:
+                others.append((r.combo, r.residual))
+            if len(taken) == n:
+                break
+        taken += others[: n - len(taken)]
         rows += [(k, i, "cut", r, tree.labels([frozenset([v]) for v in c]).tolist()) for i, (c, r) in enumerate(taken)]
     return spark.createDataFrame(rows, FIT)
 

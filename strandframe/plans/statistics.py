@@ -138,6 +138,13 @@ def m9(spark, sf):
     return d.select("cluster", *(F.round(c, 9).alias(c) for c in ("var", "cc", "wc", "wr")), F.round("check", 6).alias("check"))
 
 
+@query("M10_measures", " UNION ALL ".join(f"SELECT '{n}' AS measure, retained FROM ({q})" for n, q in (("means", _retained_sql("x.mean")), ("two_means", _retained_sql("CASE WHEN on_ = 1 THEN high ELSE low END", _TWO)), ("binary", _retained_sql(_LEVEL, _TWO)))))
+def m10(spark, sf):
+    """The three measures side by side, from the same functions as M6 to M8."""
+    named = lambda n, q: q(spark, sf).select(F.lit(n).alias("measure"), "retained")
+    return named("means", m6).unionByName(named("two_means", m7)).unionByName(named("binary", m8))
+
+
 def nation_tree(spark, sf) -> cl.Tree:
     rows = sorted((r.v, -1 if r.parent is None else r.parent) for r in S.tree(spark, sf).collect())
     return cl.Tree([p for _, p in rows])
