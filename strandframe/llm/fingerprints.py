@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.shingles import mix, shingle_hashes, shingle_sets
 from strandframe.llm.token_counts import slices
-from strandframe.runtime import ship
+from strandframe.runtime import shared_dir, ship
 
 SLICE_BYTES = 1 << 20
 _LEAST = -(2**63)
@@ -173,14 +173,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Links (a, b, similarity) between distinct texts, each named by its least id.
 
     Exact copies share a text and are not expanded. Signatures are cut into bands of
-    ``rows`` components; texts that agree in a band are candidates. A band's group is
-    ordered by signature and each member is paired with the group's first and with its
-    ``REACH`` followers, so a group of n gives about (REACH + 1) n candidates and never
-    all pairs: a group of near copies stays connected, but not every link in it is
-    listed. Each candidate is verified by the exact Jaccard similarity. For all links
-    without exception use the n-gram Jaccard join.
+    ``rows`` components; texts that agree in a band are candidates. Each member of a
+    band's group is paired with the group's least id and with the least of its salted
+    part, so a group of n gives at most 2 n candidates and never all pairs, and no task
+    holds or sorts a group: a group of near copies stays connected, but not every link
+    in it is listed. Each candidate is verified by the exact Jaccard similarity. For all
+    links without exception use the n-gram Jaccard join.
     """
-    reach = 4
+    salts = 8
     hashed = MinHash(components, k)
     base = _base(docs, id_col, text_col)
     distinct = base.where("_text <> ''").groupBy(F.sha2("_text", 256).alias("_key")).agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
@@ -189,20 +189,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             raw = b.column(1).cast(pa.binary()).to_pylist()
             for i, j in slices([len(t) for t in raw], SLICE_BYTES):
-                sig = hashed.signatures(raw[i:j])
-                flat = np.ascontiguousarray(sig).reshape(j - i, components // rows, rows).astype(">u2")
+                flat = np.ascontiguousarray(hashed.signatures(raw[i:j])).reshape(j - i, components // rows, rows).astype(">u2")
                 ids = b.column(0).slice(i, j - i).to_pylist()
-                at = [(d, n, band.tobytes(), s.astype(">u2").tobytes()) for d, s, bands in zip(ids, sig, flat, strict=True) for n, band in enumerate(bands)]
-                d, n, v, s = zip(*at, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(s, pa.binary())], ["_id", "band", "value", "sig"])
-
-    from pyspark.sql import Window
-
-    bands = distinct.select("_id", "_text").mapInArrow(sign, "_id long, band int, value binary, sig binary")
-    group = Window.partitionBy("band", "value").orderBy("sig", "_id")
-    near = [F.lead("_id", i).over(group) for i in range(1, reach + 1)]
-    ahead = bands.select("_id", F.array(F.first("_id").over(group), *near).alias("_o")).select("_id", F.explode("_o").alias("_other")).where("_other is not null and _other <> _id")
-    pairs = ahead.select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct()
+                at = [(d, n, band.tobytes()) for d, bands in zip(ids, flat, strict=True) for n, band in enumerate(bands)]
+                d, n, v = zip(*at, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary())], ["_id", "band", "value"])
+
+    bands = distinct.select("_id", "_text").mapInArrow(sign, "_id long, band int, value binary")
+    bands = bands.withColumn("salt", F.pmod(F.hash("_id", "band"), F.lit(salts)))
+    folder = shared_dir(docs.sparkSession, "bands")
+    bands.write.parquet(folder)
+    bands = docs.sparkSession.read.schema(bands.schema).parquet(folder)
+    part = bands.groupBy("band", "value", "salt").agg(F.min("_id").alias("_other"), F.count("*").alias("_n"))
+    whole = part.groupBy("band", "value").agg(F.min("_other").alias("_other"), F.sum("_n").alias("_n")).where("_n > 1")
+    near = bands.join(whole, ["band", "value"]).select("_id", "_other")
+    near = near.unionByName(bands.join(part.where("_n > 1"), ["band", "value", "salt"]).select("_id", "_other"))
+    pairs = near.where("_other <> _id").select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct()
     texts = distinct.select(F.col("_id").alias("a"), F.col("_text").alias("_ta"))
     joined = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("_ta").alias("_tb")), "b").select("a", "b", "_ta", "_tb")
 
