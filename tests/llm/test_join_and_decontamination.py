@@ -227,3 +227,21 @@ def test_near_duplicates_find_close_pairs(spark):
     found = {(r.a, r.b) for r in near_duplicates(df).collect()}
     _, links = brute_components(docs)
     assert found and found <= links
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 51, 211, 65536, 70_001])
+def test_hash_ranges_keep_hashes_apart_and_in_order(parts):
+    import numpy as np
+
+    from strandframe.llm.jaccard_join import HashRanges
+
+    ranges = HashRanges(parts)
+    h = np.random.default_rng(parts).integers(0, 2**64, 20_000, dtype=np.uint64)
+    h[:3] = [0, 2**64 - 1, 2**63]
+    at = ranges.of(h)
+    assert [int(x) * parts >> 64 for x in h[:2000]] == at[:2000].tolist()
+    n = int(at[5])
+    own = h[at == n]
+    back = ranges.unpacked(ranges.packed(own, n), n)
+    assert (back <= own).all() and ((own - back) < (np.uint64(1) << ranges.shift)).all()
+    assert len(ranges.packed(own, n)) == 6 * len(own)
