@@ -4,10 +4,9 @@ Documents are sets of word shingles (five words; fewer words, but not none: all
 them as one). Equal sets are one class, named by its least id, so copies are never
 expanded. Classes are joined in these steps:
 
-1. Counts. Each task sends the shingle hashes of its classes (7 bytes each, class by
-   class), cut by hash range, to the task that counts them. Shingles of
-   one class alone can't be shared; of all others the number of classes, df, comes
-   back to each class. A class with fewer than t * size shared shingles has no links.
+1. Counts. Each task sends the shingle hashes of its classes (6 bytes each, class by
+   class), cut by hash range, to the task that counts them. Shingles of one class
+   alone can't be shared; of all others the number of classes, df, comes back to each. A class with fewer than t * size shared shingles has no links.
 2. Global order. The shared shingles of each class are ordered by (df, hash). Two
    linked classes share a shingle among the first of each (those that lie before
    the last t * size), and from the first shared one on, enough must be left in both.
@@ -22,14 +21,14 @@ expanded. Classes are joined in these steps:
    when what remains in it and in the class can't reach the overlap needed.
 5. Components by large-star and small-star rounds.
 
-Everything is exact but for hash collisions (56 bits between the two sets of a pair).
-Groups are bounded by chunks of CHUNK candidates; what a task holds is a share of
+Everything is exact but for hash collisions (48 bits and more, see HashRanges, between
+the two sets of a pair). Groups are bounded by chunks of CHUNK candidates; what a task holds is a share of
 the shingles by hash range. Written tables in the shared folder cut the lineage.
 
 Null and empty texts (no words) have size 0 and are linked with nothing. Rows that
 repeat an id are one document: it is linked by any of its texts. A null id is never a
-class's name, and a class of null ids alone has a null name and no links. Texts are read whole; extra
-columns are not read; an empty table gives an empty result.
+class's name, and a class of null ids alone has a null name and no links. Texts are
+read whole; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,8 +71,36 @@ def _sets(k: int):
     return run
 
 
+class HashRanges:
+    """``parts`` ranges of 64-bit hashes; within one, 6 bytes tell hashes apart.
+
+    The range of h is floor(h * parts / 2**64). What lies above a range's base is cut to
+    48 bits, so hashes keep 48 + log2(parts) bits: more partitions, which more data asks
+    for, keep more.
+    """
+
+    def __init__(self, parts: int) -> None:
+        self.parts = np.uint64(parts)
+        self.base = np.asarray([-(-(i << 64) // parts) for i in range(parts)], np.uint64)
+        self.shift = np.uint64(max(0, 16 - (parts.bit_length() - 1)))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        low, top = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+        return ((top * self.parts + ((low * self.parts) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+    def packed(self, h: np.ndarray, n: int) -> bytes:
+        cut = np.ascontiguousarray((h - self.base[n]) >> self.shift)
+        return cut.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+    def unpacked(self, raw: bytes, n: int) -> np.ndarray:
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return (wide.view(np.uint64).ravel() << self.shift) + self.base[n]
+
+
 def _scatter(k: int, buckets: int):
     """Shingles of each class of a task, once, in one row for each range of hashes and flush."""
+    ranges = HashRanges(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -82,9 +109,9 @@ def _scatter(k: int, buckets: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(held) >> np.uint64(8)
+            tokens = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for s in held])
-            bucket = (((tokens >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            bucket = ranges.of(tokens)
             order = np.argsort(bucket, kind="stable")
             tokens, owner = tokens[order], owner[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
@@ -97,7 +124,7 @@ def _scatter(k: int, buckets: int):
                     rows[0].append(n)
                     rows[1].append(table[used].tobytes())
                     rows[4].append(sizes[used].tobytes())
-                    rows[2].append(np.ascontiguousarray(tokens[a:b]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
+                    rows[2].append(ranges.packed(tokens[a:b], n))
                     rows[3].append(own.astype(np.uint32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "tokens", "counts", "sizes"])
 
@@ -141,16 +168,15 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
 
 def _count(parts: int):
     """Of all shingles of a range: those of several classes, with df, to where each class is put together."""
+    ranges = HashRanges(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, tokens, owners, base = [], [], [], [], 0
         for b in batches:
-            for k, t, c, n in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                wide = np.zeros((len(t) // 7, 8), np.uint8)
-                wide[:, :7] = np.frombuffer(t, np.uint8).reshape(-1, 7)
+            for bucket, k, t, c, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 keys.append(np.frombuffer(k, "V16"))
                 sizes.append(np.frombuffer(n, np.uint32))
-                tokens.append(wide.view(np.uint64).ravel())
+                tokens.append(ranges.unpacked(t, bucket))
                 counts = np.frombuffer(c, np.uint32)
                 owners.append(np.repeat(np.arange(base, base + len(counts), dtype=np.uint32), counts))
                 base += len(counts)
