@@ -26,6 +26,8 @@ from strandframe.llm.token_counts import slices
 from strandframe.runtime import shared_dir, ship
 
 SLICE_BYTES = 1 << 20
+#: So many texts of a band's group are in a part of it.
+BLOCK = 256
 _LEAST = -(2**63)
 
 
@@ -173,14 +175,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Links (a, b, similarity) between distinct texts, each named by its least id.
 
     Exact copies share a text and are not expanded. Signatures are cut into bands of
-    ``rows`` components; texts that agree in a band are candidates. Each member of a
-    band's group is paired with the group's least id and with the least of its salted
-    part, so a group of n gives at most 2 n candidates and never all pairs, and no task
-    holds or sorts a group: a group of near copies stays connected, but not every link
-    in it is listed. Each candidate is verified by the exact Jaccard similarity. For all
-    links without exception use the n-gram Jaccard join.
+    ``rows`` components; all pairs of texts that agree in a band are candidates, and each
+    is verified by the exact Jaccard similarity. A band's group is dealt by salts to parts
+    of about BLOCK texts and pairs are made between two parts at a time, so no task makes
+    all pairs of a group; n texts give n (n - 1) / 2 candidates, as many as it can have links.
+    What is missed is what no band holds; for all links without exception use the n-gram
+    Jaccard join.
     """
-    salts = 8
     hashed = MinHash(components, k)
     base = _base(docs, id_col, text_col)
     distinct = base.where("_text <> ''").groupBy(F.sha2("_text", 256).alias("_key")).agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
@@ -196,15 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary())], ["_id", "band", "value"])
 
     bands = distinct.select("_id", "_text").mapInArrow(sign, "_id long, band int, value binary")
-    bands = bands.withColumn("salt", F.pmod(F.hash("_id", "band"), F.lit(salts)))
     folder = shared_dir(docs.sparkSession, "bands")
     bands.write.parquet(folder)
     bands = docs.sparkSession.read.schema(bands.schema).parquet(folder)
-    part = bands.groupBy("band", "value", "salt").agg(F.min("_id").alias("_other"), F.count("*").alias("_n"))
-    whole = part.groupBy("band", "value").agg(F.min("_other").alias("_other"), F.sum("_n").alias("_n")).where("_n > 1")
-    near = bands.join(whole, ["band", "value"]).select("_id", "_other")
-    near = near.unionByName(bands.join(part.where("_n > 1"), ["band", "value", "salt"]).select("_id", "_other"))
-    pairs = near.where("_other <> _id").select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct()
+    whole = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
+    parts = F.ceil(F.col("_n") / BLOCK)
+    held = bands.join(whole, ["band", "value"]).withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("_id", "band"), F.col("_parts")))
+    met = held.select("band", "value", "_id", "_own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_to"))
+    met = met.select("band", "value", "_id", "_own", F.least("_own", "_to").alias("_i"), F.greatest("_own", "_to").alias("_j"))
+    x, y = (met.select("band", "value", "_i", "_j", F.col("_id").alias(n), F.col("_own").alias(o)) for n, o in (("a", "_oa"), ("b", "_ob")))
+    pairs = x.join(y, ["band", "value", "_i", "_j"]).where("a < b and (_i = _j or _oa <> _ob)").select("a", "b").distinct()
     texts = distinct.select(F.col("_id").alias("a"), F.col("_text").alias("_ta"))
     joined = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("_ta").alias("_tb")), "b").select("a", "b", "_ta", "_tb")
 
