@@ -204,21 +204,44 @@ def binomial_table(pairs: DataFrame, n_a: int, n_b: int, alpha: float = 0.05, su
     return t.withColumn("pval", F.when(F.col("successes") == 0, 1.0).otherwise(binomial_tail("successes", "trials", "p"))).withColumn("sig", (F.col("pval") < alpha / (n_a if sum_across else n_b)).cast("int"))
 
 
+def _log_pmf(i: Column, n: Column, p: Column) -> Column:
+    """ln P(X = i) for X ~ Bin(n, p), 0 < p < 1, by Stirling's series with its exact error for small counts."""
+    exact = F.array(*(F.lit(math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) if x else 0.0) for x in range(16)))
+
+    def error(x: Column) -> Column:
+        series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+        return F.when(x < 16, F.get(exact, x.cast("int"))).otherwise(series)
+
+    rest = n - i
+    inner = error(n) - error(i) - error(rest) - i * F.ln(i / (n * p)) - rest * F.ln(rest / (n * (1 - p))) + 0.5 * F.ln(n / (2 * math.pi * i * rest))
+    return F.when(i <= 0, n * F.log1p(-p)).when(rest <= 0, n * F.ln(p)).otherwise(inner)
+
+
 def binomial_tail(k: str, n: str, p: str) -> Column:
-    """P(X >= k) for X ~ Bin(n, p): the pmf at k by logs of ratios, then by its recurrence."""
+    """P(X >= k) for X ~ Bin(n, p), summed from its largest term.
+
+    Above the mean that is the term at k, and terms go up from it; else 1 less the terms
+    from k - 1 down. Terms are relative to the first, whose logarithm is taken, so none
+    is lost to underflow. Past 12 standard deviations and 60 places from the first, what
+    is left is below a double's precision of the sum.
+    """
     kk, nn, pp = F.col(k).cast("double"), F.col(n).cast("double"), F.col(p)
     odds = pp / (1 - pp)
-    log_choose = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col(k), F.lit(1))), F.lit(0.0), lambda s, i: s + F.ln((nn - kk + i) / i))
-    first = F.exp(log_choose + kk * F.ln(pp) + (nn - kk) * F.ln(1 - pp))
-    steps = F.when(F.col(n) > F.col(k), F.sequence(F.col(k).cast("long"), F.col(n).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(first.alias("t"), first.alias("s"))
-
-    def step(acc: Column, i: Column) -> Column:
-        t = acc["t"] * (nn - i) / (i + 1) * odds
+    up = kk > nn * pp
+    at = F.when(up, kk).otherwise(kk - 1)
+    far = F.ceil(12 * F.sqrt(nn * pp * (1 - pp))) + 60
+    many = F.least(F.when(up, nn - kk).otherwise(at), far.cast("double")).cast("long")
+    steps = F.when(many > 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc: Column, j: Column) -> Column:
+        ratio = F.when(up, (nn - at - j) / (at + j + 1) * odds).otherwise((at - j) / (nn - at + j + 1) / odds)
+        t = acc["t"] * ratio
         return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
-    tail = F.aggregate(steps, start, step)["s"]
-    return F.when(F.col(k) <= 0, 1.0).when(pp >= 1, 1.0).when(pp <= 0, 0.0).otherwise(F.least(tail, F.lit(1.0)))
+    total = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+    side = F.least(F.exp(_log_pmf(at, nn, pp) + F.ln(total)), F.lit(1.0))
+    tail = F.when(up, side).otherwise(1 - side)
+    return F.when(F.col(k) <= 0, 1.0).when(F.col(k) > F.col(n), 0.0).when(pp >= 1, 1.0).when(pp <= 0, 0.0).otherwise(tail)
 
 
 def ranks(values: DataFrame, group: list[str], value: str, ties: list[str], name: str = "rank", buckets: int = 128) -> DataFrame:
