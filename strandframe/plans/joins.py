@@ -96,7 +96,7 @@ _SAMPLES = list(range(10))
 @query("J10_presence", sql("peaks", "WITH w AS (SELECT ord, chr, start, stop FROM peaks WHERE ord % 7 = 0) SELECT w.ord, " + ", ".join(f"CAST(coalesce(max(CASE WHEN p.sample = {s} THEN 1 END), 0) AS INTEGER) AS s{s}" for s in _SAMPLES) + " FROM w LEFT JOIN peaks p ON p.chr = w.chr AND p.start < w.stop AND w.start < p.stop GROUP BY w.ord"))
 def j10(spark, sf):
     p = S.peaks(spark, sf)
-    return iv.presence(p.where("ord % 7 = 0"), p, "ord", _SAMPLES)
+    return iv.presence(p, p, "ord", _SAMPLES)
 
 
 @query("J11_block_self_join", sql("bits", "WITH r AS (SELECT row_id, sum(x) AS ones, list(x ORDER BY col_id) AS v FROM bits GROUP BY row_id), d AS (SELECT a.ones AS n1, b.ones AS n2, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS d FROM r a JOIN r b ON a.row_id <> b.row_id AND b.ones - a.ones IN (0, 1)) SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, d, count(*) AS pairs FROM d GROUP BY n1, n2, d"))
