@@ -40,7 +40,7 @@ def j2(spark, sf):
 
 @query("J3_densify_ids", "WITH e AS (SELECT DISTINCT l_partkey AS e1, l_suppkey + 1000000 AS e2 FROM lineitem WHERE l_linenumber = 1), v AS (SELECT e1 AS x FROM e UNION SELECT e2 FROM e), i AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS n FROM v) SELECT a.n AS e1, b.n AS e2 FROM e JOIN i a ON a.x = e.e1 JOIN i b ON b.x = e.e2")
 def j3(spark, sf):
-    e = read_table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("e1"), (F.col("l_suppkey") + 1000000).alias("e2")).distinct()
+    e = read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("e1"), (F.col("l_suppkey") + 1000000).alias("e2")).distinct()
     ids = mx.dense_ids(e.select(F.col("e1").alias("x")).union(e.select(F.col("e2").alias("x"))).distinct(), "x")
     out = e.join(ids.select(F.col("x").alias("e1"), F.col("n").alias("n1")), "e1").join(ids.select(F.col("x").alias("e2"), F.col("n").alias("n2")), "e2")
     return out.select(F.col("n1").alias("e1"), F.col("n2").alias("e2"))
