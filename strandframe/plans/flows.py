@@ -28,7 +28,7 @@ def e2(spark, sf):
     from strandframe.operators import cluster as cl
 
     flow = Workflow(spark, shared_dir(spark, "workflow"), S.cells(spark, sf), nation_tree(spark, sf), fdr=0.2, min_size=2)
-    flow.starting_points(range(2, 5), 2, 2)
+    flow.starting_points()
     return cl.best_fits(flow.fits())
 
 

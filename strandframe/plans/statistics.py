@@ -16,6 +16,9 @@ from strandframe.plans.registry import query
 from strandframe.plans.standins import sql
 from strandframe.runtime import read_table
 
+#: Effort of searches, as the reference's defaults: K, starts of either kind for each K, submatrix restarts.
+KS, STARTS, RESTARTS = list(range(2, 13)), 10, 1000
+
 _PMF = "exp(lgamma(n1 + 1) - lgamma(k + 1) - lgamma(n1 - k + 1) + lgamma({m} - n1 + 1) - lgamma(n2 - k + 1) - lgamma({m} - n1 - n2 + k + 1) - lgamma({m} + 1) + lgamma(n2 + 1) + lgamma({m} - n2 + 1))"
 
 
@@ -157,12 +160,12 @@ def nation_table(spark, sf) -> cl.Table:
 
 @query("M11_k_sweep")
 def m11(spark, sf):
-    """(method, k, residual) of tree, hierarchical and k-means clusters for K = 2..4."""
+    """(method, k, residual) of tree, hierarchical and k-means clusters for K = 2..12."""
     import numpy as np
 
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
-    ks = [2, 3, 4]
-    starts = cl.random_starts(spark, tree, table, ks, 2).unionByName(cl.smart_starts(spark, tree, table, ks, 2))
+    ks = KS
+    starts = cl.random_starts(spark, tree, table, ks, STARTS).unionByName(cl.smart_starts(spark, tree, table, ks, STARTS))
     rows = [("tree", r.k, float(r.residual)) for r in cl.best_fits(cl.fits(starts, tree, table)).collect()]
     g = cl.gram_table(S.cells(spark, sf)).toPandas()
     gram = np.zeros((S.N_COLS, S.N_COLS))
@@ -275,7 +278,7 @@ def m22(spark, sf):
 
 @query("M23_large_averages")
 def m23(spark, sf):
-    return cl.large_averages(S.bits(spark, sf), 2, 40)
+    return cl.large_averages(S.bits(spark, sf), 2, RESTARTS)
 
 
 @query("M25_summary_counts", "SELECT 'lang' AS kind, lang AS name, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents JOIN labels USING (doc_id) WHERE n_chars <= 1000 AND toxic = 0 GROUP BY source UNION ALL SELECT 'share', 'all', CAST(round(100.0 * count(CASE WHEN n_chars <= 1000 THEN 1 END) / count(*)) AS BIGINT) FROM documents JOIN labels USING (doc_id)")

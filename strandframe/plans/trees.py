@@ -12,7 +12,7 @@ from strandframe.operators import matrix as mx
 from strandframe.plans import standins as S
 from strandframe.plans.registry import query
 from strandframe.plans.standins import sql
-from strandframe.plans.statistics import nation_table, nation_tree
+from strandframe.plans.statistics import KS, STARTS, nation_table, nation_tree
 from strandframe.runtime import read_table, shared_dir
 
 _EDGES = "e AS (SELECT parent, v AS child FROM tree WHERE parent IS NOT NULL)"
@@ -87,14 +87,14 @@ def g10(spark, sf):
 
 @query("C1_random_starts")
 def c1(spark, sf):
-    return cl.random_starts(spark, nation_tree(spark, sf), nation_table(spark, sf), [2, 3, 4], 5)
+    return cl.random_starts(spark, nation_tree(spark, sf), nation_table(spark, sf), KS, STARTS)
 
 
 @query("C2_C5_local_search")
 def c5(spark, sf):
     """Regrouping, carrying, first improvement and descent, from each random start."""
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
-    return cl.fits(cl.random_starts(spark, tree, table, [3], 4), tree, table)
+    return cl.fits(cl.random_starts(spark, tree, table, KS, STARTS), tree, table)
 
 
 @query(
@@ -109,7 +109,7 @@ def c6(spark, sf):
 @query("C7_parallel_restarts")
 def c7(spark, sf):
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
-    starts = cl.random_starts(spark, tree, table, [4], 4).unionByName(cl.smart_starts(spark, tree, table, [4], 4))
+    starts = cl.random_starts(spark, tree, table, KS, STARTS).unionByName(cl.smart_starts(spark, tree, table, KS, STARTS))
     return cl.fits(starts, tree, table)
 
 
@@ -139,15 +139,14 @@ def c9(spark, sf):
 @query("C10_k_sweep")
 def c10(spark, sf):
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
-    ks = list(range(2, 7))
-    starts = cl.random_starts(spark, tree, table, ks, 2).unionByName(cl.smart_starts(spark, tree, table, ks, 2))
+    starts = cl.random_starts(spark, tree, table, KS, STARTS).unionByName(cl.smart_starts(spark, tree, table, KS, STARTS))
     return cl.fits(starts, tree, table)
 
 
 @query("C11_best_fit")
 def c11(spark, sf):
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
-    return cl.best_fits(cl.fits(cl.random_starts(spark, tree, table, [2, 3], 3), tree, table))
+    return cl.best_fits(cl.fits(cl.random_starts(spark, tree, table, KS, STARTS), tree, table))
 
 
 @query("L1_memoised_stage", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
