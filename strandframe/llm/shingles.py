@@ -10,25 +10,13 @@ from __future__ import annotations
 import numpy as np
 
 _RANDOM = np.random.default_rng(20240229)
-_LETTER = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_PLACE, _SIZE = np.uint64(_BASE), np.uint64(0xA0761D6478BD642F)
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = 1 << n.bit_length()
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.cumprod(a)
-    return _POWERS["up"], _POWERS["down"]
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads each bit over all others."""
@@ -39,6 +27,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: So many places in a word have their values in a table; later ones are worked out.
+_TABLED = 64
+_VALUES = mix(_LETTER[None, :] + np.arange(_TABLED, dtype=np.uint64)[:, None] * _PLACE).ravel()
+
+
+def _hashed(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each word, whose bytes lie one after another in ``letters``.
+
+    Each byte at each place has a value of its own and a word is their sum, so no
+    regular change of a word keeps its hash, as one of a polynomial modulo 2**64 may.
+    """
+    if not len(lengths):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    values = _VALUES[(np.minimum(place, _TABLED - 1) << 8) | letters]
+    late = np.flatnonzero(place >= _TABLED)
+    if len(late):
+        values[late] = mix(_LETTER[letters[late]] + place[late].astype(np.uint64) * _PLACE)
+    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _SIZE)
+
+
 def words_of(texts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hashes of all words, text after text, the number of words of each text, where
     each word begins and ends, and the lower-cased bytes that these places refer to.
@@ -50,11 +60,7 @@ def words_of(texts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.nd
     white = between[data]
     edge = np.flatnonzero(np.diff(white, prepend=True))  # words begin and end in turn
     begin, end = edge[0::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
-    words = mix((sums[end] - sums[begin]) * down[begin])
+    words = _hashed(data[~white], end - begin)
     until = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     counts = np.diff(np.searchsorted(begin, until), prepend=0)
     return words, counts, begin, end, buf

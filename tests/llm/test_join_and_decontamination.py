@@ -95,18 +95,64 @@ def test_join_repeated_ids_null_ids_and_empty(spark):
     got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_components(df).collect()))
     assert got == [(-1, 0, -1), (-1, 6, 1), (1, 6, 1), (1, 6, 1), (2, 6, 1), (3, 0, 3), (4, 1, 4)]
     assert jaccard_components(df.limit(0)).count() == 0
-    assert sorted(r.doc_id or -1 for r in keep_one(df).collect()) == [-1, -1, 1, 3, 4]
-
-
-def test_trie_overlaps_equal_set_overlaps():
+    # The null id with the text of 1 goes; texts without words stay.
+    assert sorted(r.doc_id or -1 for r in keep_one(df).collect()) == [-1, 1, 3, 4]
+
+
+def test_keep_one_judges_rows_by_their_own_texts(spark):
+    t, u = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, t, 77, 5), (1, u, 88, 6), (2, u, 9, 7), (None, "v w x y z v w x", 1, 8), (None, "v w x y z v w x", 2, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _key int")
+    got = keep_one(df)
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == 3 and set(kept) <= set(rows) and {(r[0], r[1]) for r in kept} == {(1, t), (1, u), (None, "v w x y z v w x")}
+    named = spark.createDataFrame([("b", t), ("a", t), (None, u)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.component_id or "") for r in jaccard_components(named).collect()) == [("", ""), ("a", "a"), ("b", "a")]
+
+
+def test_regular_words_do_not_collide(spark):
+    """Thue-Morse words and their mirror have one hash under any polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, mirror), (3, f"{word} x {word} y {word}"), (4, f"{mirror} x {mirror} y {mirror}")], "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard_components(df).collect()) == [1, 2, 3, 4]
+    assert len({r.fingerprint for r in fingerprint(df).collect()}) == 4
+
+
+def test_flushes_ranges_and_groups_do_not_change_the_join(spark, monkeypatch):
+    """Small flushes and ranges, and a shingle that most texts have."""
+    from strandframe.llm import jaccard_join
+
+    rnd = random.Random(21)
+    docs = [(i, f"all of us say so {t}") for i, t in corpus(21) if t and len(t) < 4000]
+    docs += [(2000 + i, f"all of us say so {rnd.random()} {rnd.random()} {rnd.random()}") for i in range(150)]
+    for name, value in (("FLUSH", 700), ("RANGE", 500), ("WALK_BYTES", 3000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want, _ = brute_components(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == want
+
+
+def test_trie_links_equal_set_overlaps():
     import numpy as np
 
     rnd = random.Random(5)
-    sets = [np.array(sorted(rnd.sample(range(60), rnd.randint(1, 40))), np.uint64)[::-1] for _ in range(80)]
-    probe = np.array(sorted(rnd.sample(range(60), 30)), np.uint64)
-    for need in (1, 8, 15, 25):
-        want = {i for i, s in enumerate(sets) if len(set(s.tolist()) & set(probe.tolist())) >= need}
-        assert set(SetTrie(sets).overlaps(probe, [need] * len(sets))) == want
+    place = list(range(60))
+    rnd.shuffle(place)
+    ordered = lambda xs: np.array(sorted(xs, key=place.__getitem__), np.uint64)
+    base = [rnd.sample(range(60), 40) for _ in range(4)]
+    sets = [ordered(rnd.sample(b := rnd.choice(base), rnd.randint(1, 40))) for _ in range(120)] + [ordered(base[0])] * 2 + [np.empty(0, np.uint64)]
+    sizes = [len(s) + rnd.randint(0, 2) for s in sets]
+    trie = SetTrie(sets, sizes)
+    links = 0
+    for probe in [*map(ordered, base), ordered(base[1][:30]), ordered([]), ordered(range(60))]:
+        size = len(probe)
+        both = [len(set(s.tolist()) & set(probe.tolist())) for s in sets]
+        want = [i for i, (o, n) in enumerate(zip(both, sizes, strict=True)) if 100 * o >= 75 * (size + n - o)]
+        assert sorted(trie.linked(probe, size)) == want
+        links += len(want)
+    assert links > 20
 
 
 def test_connected_components(spark):
@@ -229,19 +275,14 @@ def test_near_duplicates_find_close_pairs(spark):
     assert found and found <= links
 
 
-@pytest.mark.parametrize("parts", [1, 2, 3, 51, 211, 65536, 70_001])
-def test_hash_ranges_keep_hashes_apart_and_in_order(parts):
+@pytest.mark.parametrize("ranges", [1, 2, 3, 51, 211, 65536, 70_001])
+def test_ranges_of_hashes_lie_in_order(ranges):
     import numpy as np
 
-    from strandframe.llm.jaccard_join import HashRanges
+    from strandframe.llm.jaccard_join import _cells, _values, range_of
 
-    ranges = HashRanges(parts)
-    h = np.random.default_rng(parts).integers(0, 2**64, 20_000, dtype=np.uint64)
+    h = np.random.default_rng(ranges).integers(0, 2**64, 2000, dtype=np.uint64)
     h[:3] = [0, 2**64 - 1, 2**63]
-    at = ranges.of(h)
-    assert [int(x) * parts >> 64 for x in h[:2000]] == at[:2000].tolist()
-    n = int(at[5])
-    own = h[at == n]
-    back = ranges.unpacked(ranges.packed(own, n), n)
-    assert (back <= own).all() and ((own - back) < (np.uint64(1) << ranges.shift)).all()
-    assert len(ranges.packed(own, n)) == 6 * len(own)
+    assert [int(x) * ranges >> 64 for x in h] == range_of(h, ranges).tolist()
+    cuts = np.array([0, 5, 5, 2000])
+    assert np.concatenate([_values(c, np.uint64) for c in _cells(h, cuts)]).tolist() == h.tolist()
