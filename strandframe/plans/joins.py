@@ -38,7 +38,7 @@ def j2(spark, sf):
     return both.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("gene_cluster"), F.coalesce("toxic", F.lit(-1)).alias("peak_cluster"))
 
 
-@query("J3_densify_ids", "WITH e AS (SELECT DISTINCT l_partkey AS e1, l_suppkey + 1000000 AS e2 FROM lineitem WHERE l_linenumber = 1), v AS (SELECT e1 AS x FROM e UNION SELECT e2 FROM e), i AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS n FROM v) SELECT a.n AS e1, b.n AS e2 FROM e JOIN i a ON a.x = e.e1 JOIN i b ON b.x = e.e2")
+@query("J3_densify_ids", "WITH e AS (SELECT DISTINCT l_partkey AS e1, l_suppkey + 1000000 AS e2 FROM lineitem), v AS (SELECT e1 AS x FROM e UNION SELECT e2 FROM e), i AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS n FROM v) SELECT a.n AS e1, b.n AS e2 FROM e JOIN i a ON a.x = e.e1 JOIN i b ON b.x = e.e2")
 def j3(spark, sf):
     e = read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("e1"), (F.col("l_suppkey") + 1000000).alias("e2")).distinct()
     ids = mx.dense_ids(e.select(F.col("e1").alias("x")).union(e.select(F.col("e2").alias("x"))).distinct(), "x")
@@ -93,7 +93,7 @@ def j9(spark, sf):
 _SAMPLES = list(range(10))
 
 
-@query("J10_presence", sql("peaks", "WITH w AS (SELECT ord, chr, start, stop FROM peaks WHERE ord % 7 = 0) SELECT w.ord, " + ", ".join(f"CAST(coalesce(max(CASE WHEN p.sample = {s} THEN 1 END), 0) AS INTEGER) AS s{s}" for s in _SAMPLES) + " FROM w LEFT JOIN peaks p ON p.chr = w.chr AND p.start < w.stop AND w.start < p.stop GROUP BY w.ord"))
+@query("J10_presence", sql("peaks", "WITH w AS (SELECT ord, chr, start, stop FROM peaks) SELECT w.ord, " + ", ".join(f"CAST(coalesce(max(CASE WHEN p.sample = {s} THEN 1 END), 0) AS INTEGER) AS s{s}" for s in _SAMPLES) + " FROM w LEFT JOIN peaks p ON p.chr = w.chr AND p.start < w.stop AND w.start < p.stop GROUP BY w.ord"))
 def j10(spark, sf):
     p = S.peaks(spark, sf)
     return iv.presence(p, p, "ord", _SAMPLES)
@@ -139,7 +139,7 @@ def j16(spark, sf):
     return pending(read_table(spark, sf, "documents").select("doc_id"), done, "doc_id")
 
 
-@query("J17_same_order", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ FROM nation")
+@query("J17_same_order", "SELECT count(*) AS n, count(*) FILTER (WHERE quality <> toxic) AS differ FROM labels")
 def j17(spark, sf):
-    n = read_table(spark, sf, "nation")
-    return same_order(n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("v")), n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("v")))
+    both = read_table(spark, sf, "labels")
+    return same_order(both.select(F.col("doc_id").alias("i"), F.col("quality").alias("v")), both.select(F.col("doc_id").alias("i"), F.col("toxic").alias("v")))

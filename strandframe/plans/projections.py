@@ -153,6 +153,6 @@ def p24(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", "n_chars").join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("P25_drop_zero_rows", sql("cells", "SELECT row_id, CAST(sum(x) AS BIGINT) AS ones FROM cells WHERE col_id < 6 GROUP BY row_id HAVING sum(x) > 0"))
+@query("P25_drop_zero_rows", sql("cells", "SELECT row_id, CAST(sum(x) AS BIGINT) AS ones FROM cells GROUP BY row_id HAVING sum(x) > 0"))
 def p25(spark, sf):
-    return drop_zero_rows(S.cells(spark, sf).where("col_id < 6"))
+    return drop_zero_rows(S.cells(spark, sf))

@@ -107,10 +107,10 @@ def s10(spark, sf):
     return readers.read_folder(spark, path, schemas.MASTER)
 
 
-@query("S11_sheet_per_bicluster", sql("bits", "SELECT row_id, col_id, x, cluster AS bicluster FROM bits WHERE col_id < 8"))
+@query("S11_sheet_per_bicluster", sql("bits", "SELECT row_id, col_id, x, cluster AS bicluster FROM bits"))
 def s11(spark, sf):
     path = shared_dir(spark, "sheets")
-    b = S.bits(spark, sf).where("col_id < 8").withColumnRenamed("cluster", "bicluster")
+    b = S.bits(spark, sf).withColumnRenamed("cluster", "bicluster")
     readers.write_sheets(b, path)
     return spark.read.schema(b.schema).parquet(path)
 

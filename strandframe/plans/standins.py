@@ -4,7 +4,7 @@ peaks   events: chr = event_type, 500 wide windows around the second of ts, q =
 cells   part x nation of the ordering customer: x = 1 where more than one line item
 bits    embeddings: x = 1 where a component is positive; row cluster = label
 tree    heap tree on the nations: parent(v) = (v - 1) div 2
-dna     documents' letters, folded onto ACGT, whole; VIEWS['dna'] has the first 500 only
+dna     documents' letters, folded onto ACGT, whole
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ VIEWS = {
     "cells": "SELECT r.row_id, CAST(k.col_id AS INTEGER) AS col_id, CAST(coalesce(c.n, 0) > 1 AS INTEGER) AS x FROM (SELECT DISTINCT row_id FROM counts) r CROSS JOIN (SELECT unnest(range(25)) AS col_id) k LEFT JOIN counts c ON c.row_id = r.row_id AND c.col_id = k.col_id",
     "bits": "SELECT row_id, CAST(i AS INTEGER) AS col_id, CAST(embedding[i + 1] > 0 AS INTEGER) AS x, cluster FROM (SELECT vec_id AS row_id, label AS cluster, embedding, unnest(range(64)) AS i FROM embeddings)",
     "tree": "SELECT n_nationkey AS v, CASE WHEN n_nationkey > 0 THEN CAST((n_nationkey - 1) // 2 AS INTEGER) END AS parent, n_name AS name FROM nation",
-    "dna": f"SELECT doc_id AS row_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}'), 1, 500) AS seq FROM documents",
+    "dna": f"SELECT doc_id AS row_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents",
 }
 _NEEDS = {"cells": ["counts"]}
 

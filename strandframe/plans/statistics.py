@@ -267,7 +267,7 @@ def m21(spark, sf):
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("M22_binomial_enrichment", "WITH p AS (SELECT o_custkey AS gene, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS a, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey <= 4000), g AS (SELECT a, count(DISTINCT gene) AS ng FROM p GROUP BY a), n AS (SELECT b, count(*) AS nb FROM p GROUP BY b), c AS (SELECT a, b, count(*) AS s FROM p GROUP BY a, b), t AS (SELECT c.a, c.b, c.s, n.nb, g.ng / CAST((SELECT sum(ng) FROM g) AS DOUBLE) AS pr FROM c JOIN g USING (a) JOIN n USING (b)) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, s AS successes, nb AS trials, round(list_sum(list_transform(range(s, nb + 1), lambda i: exp(lgamma(nb + 1) - lgamma(i + 1) - lgamma(nb - i + 1) + i * ln(pr) + (nb - i) * ln(1 - pr)))), 6) AS pval FROM t")
+@query("M22_binomial_enrichment", "WITH p AS (SELECT o_custkey AS gene, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS a, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS b FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT a, count(DISTINCT gene) AS ng FROM p GROUP BY a), n AS (SELECT b, count(*) AS nb FROM p GROUP BY b), c AS (SELECT a, b, count(*) AS s FROM p GROUP BY a, b), t AS (SELECT c.a, c.b, c.s, n.nb, g.ng / CAST((SELECT sum(ng) FROM g) AS DOUBLE) AS pr FROM c JOIN g USING (a) JOIN n USING (b)) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, s AS successes, nb AS trials, round(list_sum(list_transform(range(s, nb + 1), lambda i: exp(lgamma(nb + 1) - lgamma(i + 1) - lgamma(nb - i + 1) + i * ln(pr) + (nb - i) * ln(1 - pr)))), 6) AS pval FROM t")
 def m22(spark, sf):
     o, c = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
     seg = F.array_position(F.array(*map(F.lit, _SEG)), F.col("c_mktsegment")) - 1
