@@ -16,7 +16,7 @@ from strandframe.llm.jaccard_join import keep_one
 from strandframe.llm.language_id import UNDETERMINED, identify, train
 from strandframe.llm.packing import pack_sequences
 from strandframe.llm.quality import fit, scored_texts, with_features
-from strandframe.runtime import read_table, shared_dir
+from strandframe.runtime import fresh_names, read_table, shared_dir, written
 
 #: Documents whose language is less likely than this are rejected; short clean texts lie above it.
 LEAST_LANGUAGE = 0.35
@@ -26,17 +26,17 @@ LEAST_QUALITY = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns languages from the documents that name one; rejects those without a clear one."""
-    found = identify(docs, train(docs))
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    pred, score = fresh_names(docs, "_lang_pred", "_lang_score")
+    found = identify(docs, train(docs), pred=pred, score_col=score)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns quality from the labelled ones among the documents; rejects the rest's low end."""
     stats = with_features(docs.select("doc_id", "text")).select("doc_id", "_features")
-    folder = shared_dir(spark, "quality")
-    stats.write.parquet(folder)
-    model = fit(spark.read.schema(stats.schema).parquet(folder), read_table(spark, sf_dir, "labels"))
-    return scored_texts(docs, model).where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    model = fit(written(stats, "quality"), read_table(spark, sf_dir, "labels"))
+    (score,) = fresh_names(docs, "_score")
+    return scored_texts(docs, model, score_col=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
