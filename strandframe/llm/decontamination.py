@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from strandframe.llm.shingles import mix, words_of
 from strandframe.llm.token_counts import slices
-from strandframe.runtime import shared_dir, ship
+from strandframe.runtime import fresh_names, ship, written
 
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -125,13 +125,11 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-FOUND = T.StructType(
-    [
-        T.StructField("_dc_words", T.LongType()),
-        T.StructField("_dc_spans", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))),
-        T.StructField("_dc_items", T.ArrayType(T.StringType())),
-    ]
-)
+def found_fields(names: list[str]) -> list[T.StructField]:
+    spans = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+    return [T.StructField(n, t) for n, t in zip(names, (T.LongType(), spans, T.ArrayType(T.StringType())), strict=True)]
+
+
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
@@ -151,25 +149,28 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with _dc_words (count), _dc_spans (hit words, merged) and _dc_items."""
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three columns, and their names (none that ``docs`` has): the number of
+    words, the hit words as merged spans, the items. One block is on the driver and broadcast
+    at a time."""
     spark = docs.sparkSession
     ship(spark)
+    names = fresh_names(docs, "_dc_words", "_dc_spans", "_dc_items")
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *FOUND.fields])
-    found, more = docs, False
-    for block in [*_blocks(benchmark, item_id_col, item_text_col, block_bytes)] or [[]]:
-        if more:
-            folder = shared_dir(spark, "decontamination")
-            found.write.parquet(folder)
-            found = spark.read.schema(schema).parquet(folder)
+    schema = T.StructType([*docs.schema.fields, *found_fields(names)])
+    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    block, found, more = next(blocks, []), docs, False
+    while True:
         sent = spark.sparkContext.broadcast(NgramSet(block, n))
-        found = found.mapInArrow(_scanner(sent, at, more), schema)
-        more = True
-    return found
+        found = found.mapInArrow(_scanner(sent, at, names, more), schema)
+        block, more = next(blocks, None), True
+        if block is None:
+            return found, names
+        found = written(found, "decontamination")
+        sent.destroy()
 
 
-def _scanner(sent, at: int, more: bool):
+def _scanner(sent, at: int, names: list[str], more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
@@ -185,23 +186,22 @@ def _scanner(sent, at: int, more: bool):
                     named = [sorted({*x, *y}) for x, y in zip(cols[-1].to_pylist(), named, strict=True)]
                     cols = cols[:-3]
                 made = [pa.array(counts, pa.int64()), pa.array([[{"s": x, "e": y} for x, y in v] for v in spans], _SPANS), pa.array(named, pa.list_(pa.string()))]
-                names = [*part.schema.names[: len(cols)], *FOUND.names]
-                yield pa.RecordBatch.from_arrays([*cols, *made], names)
+                yield pa.RecordBatch.from_arrays([*cols, *made], [*part.schema.names[: len(cols)], *names])
 
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Id, n_words, n_hit, n_items, items (ids, sorted as strings), contaminated."""
-    text_col = options.get("text_col", "text")
-    found = scan(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias(text_col)), benchmark, **options)
-    n_hit = F.aggregate("_dc_spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"])
+    text_col = options.pop("text_col", "text")
+    found, (words, spans, items) = scan(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), benchmark, text_col="_text", **options)
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"])
     return found.select(
         F.col("_id").alias(id_col),
-        F.col("_dc_words").alias("n_words"),
+        F.col(words).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_dc_items").cast("long").alias("n_items"),
-        F.array_sort("_dc_items").alias("items"),
+        F.size(items).cast("long").alias("n_items"),
+        F.array_sort(items).alias("items"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -211,30 +211,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
 
     mode "document" removes every document with a hit word; "span" keeps the document
     and cuts the hit words out of its text (with what stands between them), again
-    until nothing is left to cut.
+    until nothing is left to cut: with several blocks, until all of them in turn have
+    found nothing. One block is on the driver and broadcast at a time.
     """
     if mode == "document":
-        found = scan(docs, benchmark, text_col=text_col, **options)
-        return found.where(F.size("_dc_spans") == 0).select(*docs.columns)
+        found, (_, spans, _) = scan(docs, benchmark, text_col=text_col, **options)
+        return found.where(F.size(spans) == 0).select(*docs.columns)
     if mode != "span":
         raise ValueError(f"mode {mode!r}")
     spark = docs.sparkSession
     ship(spark)
-    n = options.get("n", 10)
-    at, out = docs.columns.index(text_col), docs
-    for block in [*_blocks(benchmark, options.get("item_id_col", "item_id"), options.get("item_text_col", "text"), options.get("block_bytes", BLOCK_BYTES))]:
-        out = out.mapInArrow(_cutter(spark.sparkContext.broadcast(NgramSet(block, n)), at), docs.schema)
-    return out
-
-
-def _cutter(sent, at: int):
+    n, at = options.get("n", 10), docs.columns.index(text_col)
+    (flag,) = fresh_names(docs, "_dc_cut")
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
+    several, quiet, out = False, False, docs
+    while not quiet:
+        blocks = _blocks(benchmark, options.get("item_id_col", "item_id"), options.get("item_text_col", "text"), options.get("block_bytes", BLOCK_BYTES))
+        quiet, block = True, next(blocks, [])
+        while block is not None:
+            sent = spark.sparkContext.broadcast(NgramSet(block, n))
+            cut = out.select(*docs.columns).mapInArrow(_cutter(sent, at, [*docs.columns, flag]), schema)
+            block = next(blocks, None)
+            several = several or block is not None
+            if not several:  # one block is done when it is scanned
+                return cut.select(*docs.columns)
+            out = written(cut, "decontamination")
+            sent.destroy()
+            quiet = quiet and out.where(F.col(flag)).isEmpty()
+    return out.select(*docs.columns)
+
+
+def _cutter(sent, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
             raw = b.column(at).cast(pa.binary()).to_pylist()
             for i, j in slices([len(t or b"") for t in raw], SLICE_BYTES):
                 texts = raw[i:j]
-                todo = [k for k, t in enumerate(texts) if t]
+                todo, cut = [k for k, t in enumerate(texts) if t], [False] * len(texts)
                 while todo:
                     _, spans, _, (begin, end, first) = own.find([texts[k] for k in todo])
                     start = np.cumsum([0, *(len(texts[k]) + 1 for k in todo[:-1])])
@@ -247,10 +261,11 @@ def _cutter(sent, at: int):
                                 done = int(end[first[m] + e - 1] - start[m])
                             texts[k] = b" ".join([*kept, texts[k][done:]])
                             left.append(k)
+                            cut[k] = True
                     todo = left
                 part = b.slice(i, j - i)
                 cols = part.columns
                 cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.bool_())], names)
 
     return run

@@ -8,7 +8,8 @@ fingerprints; texts without words share the fingerprint of the empty set.
 
 Null texts count as empty; texts are read whole, batches in slices of about
 SLICE_BYTES; repeated rows and ids stay; extra columns are not read; an empty table
-gives an empty result. Rows with a null id come first in the order of ids.
+gives an empty result. Rows with a null id come first in the order of ids. Ids may be
+of any type; those that are no whole numbers are ordered as strings.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandframe.llm.shingles import mix, shingle_hashes, shingle_sets
 from strandframe.llm.token_counts import slices
-from strandframe.runtime import shared_dir, ship
+from strandframe.runtime import ship, written
 
 SLICE_BYTES = 1 << 20
 #: So many texts of a band's group are in a part of it.
@@ -59,20 +62,35 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+
+
+def _numbered(base: DataFrame) -> DataFrame:
+    """``base`` with _sort, what ids are ordered by, and _x, a number that never falls along it.
+
+    Whole numbers are ordered as such, all other ids as strings, of which _x has the first 7 bytes.
+    """
+    if isinstance(base.schema["_id"].dataType, T.IntegralType):
+        return base.withColumn("_sort", F.col("_id").cast("long")).withColumn("_x", F.col("_sort"))
+    name = F.col("_id").cast("string")
+    head = F.rpad(F.hex(F.substring(name.cast("binary"), 1, 7)), 14, "0")
+    return base.withColumn("_sort", name).withColumn("_x", F.conv(head, 16, 10).cast("long"))
 
 
 def with_next(base: DataFrame, parts: int) -> DataFrame:
-    """Rows (_id, _text) dealt to ``parts`` ranges of _id, sorted, as (pid, kind, _id, _text).
+    """Rows (_id, _text) dealt to ``parts`` ranges of ids, sorted, as (pid, kind, _id, _text).
 
     kind 0 are all rows once. Each range ends with rows of kind 1: the first of the
     next range that has rows (the last range gets the first of all), so that every
     row's follower stands after it. Only ids are read to find the ranges; texts are
     shuffled once. The driver holds two numbers for each range.
     """
-    ids = base.select("_id")
+    base = _numbered(base)
+    id_type = base.schema["_id"].dataType
+    schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("_id", id_type), T.StructField("_text", T.StringType()), T.StructField("_sort", base.schema["_sort"].dataType)])
+    ids = base.select("_x")
     probs = [i / parts for i in range(1, parts)]
-    cuts = ids.agg(F.percentile_approx("_id", F.lit(probs), F.lit(max(1000, 20 * parts))).alias("q")).first().q if probs else []
+    cuts = ids.agg(F.percentile_approx("_x", F.lit(probs), F.lit(max(1000, 20 * parts))).alias("q")).first().q if probs else []
     bounds = np.unique(np.asarray(cuts or [], np.int64))
 
     def numbers(column: pa.Array) -> np.ndarray:
@@ -95,17 +113,18 @@ def with_next(base: DataFrame, parts: int) -> DataFrame:
     goes_to = dict(zip(first.tolist(), [used[i - 1] for i in range(len(used))], strict=True))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pid", "kind", "_id", "_text", "_sort"]
         for b in batches:
-            x = numbers(b.column(0))
+            x, rows = numbers(b.column(3)), b.columns[:3]
             pid = np.searchsorted(bounds, x, side="right")
-            names = ["pid", "kind", "_id", "_text"]
-            yield pa.RecordBatch.from_arrays([pa.array(pid.astype(np.int64)), pa.array(np.zeros(len(x), np.int32)), *b.columns], names)
+            yield pa.RecordBatch.from_arrays([pa.array(pid.astype(np.int32)), pa.array(np.zeros(len(x), np.int32)), *rows], names)
             again = np.flatnonzero(np.isin(x, first))
             if len(again):
-                to = np.asarray([goes_to[v] for v in x[again].tolist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(again), np.int32)), *(c.take(pa.array(again)) for c in b.columns)], names)
+                to = np.asarray([goes_to[v] for v in x[again].tolist()], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(again), np.int32)), *(c.take(pa.array(again)) for c in rows)], names)
 
-    return base.mapInArrow(deal, "pid long, kind int, _id long, _text string").repartition(parts, "pid").sortWithinPartitions("pid", "kind", "_id", "_text")
+    # A range is a partition; its number is the partition's, so no two meet in one task.
+    return base.mapInArrow(deal, schema).repartitionById(parts, "pid").sortWithinPartitions("pid", "kind", "_sort", "_text").drop("_sort")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: int = 64, k: int = 5) -> DataFrame:
@@ -119,7 +138,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sig = hashed.signatures(raw[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.astype(">u2").tobytes().hex() for s in sig], pa.string())], ["_id", "fingerprint"])
 
-    return _base(docs, id_col, text_col).mapInArrow(run, "_id long, fingerprint string").withColumnRenamed("_id", id_col)
+    base = _base(docs, id_col, text_col)
+    return base.mapInArrow(run, T.StructType([base.schema["_id"], T.StructField("fingerprint", T.StringType())])).withColumnRenamed("_id", id_col)
 
 
 def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: int = 64, k: int = 5) -> DataFrame:
@@ -144,6 +164,10 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield judge(pid[i : j + 1], kind[i : j + 1], ids[i : j + 1], texts[i : j + 1])
             held = (pid[-1], kind[-1], ids[-1], texts[-1])
 
+    base = _base(docs, id_col, text_col)
+    id_type = base.schema["_id"].dataType
+    id_kind = to_arrow_type(id_type)
+
     def judge(pid: list, kind: list, ids: list, texts: list) -> pa.RecordBatch:
         rows = [i for i in range(len(pid) - 1) if kind[i] == 0 and pid[i + 1] == pid[i]]
         own = hashed.signatures([t.encode() for t in texts])
@@ -156,7 +180,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hexed = lambda m: pa.array([s.astype(">u2").tobytes().hex() for s in m], pa.string())
         return pa.RecordBatch.from_pydict(
             {
-                "_id": pa.array([ids[i] for i in rows], pa.int64()),
+                "_id": pa.array([ids[i] for i in rows], id_kind),
                 "n_chars": pa.array([len(texts[i]) for i in rows], pa.int64()),
                 "edited_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
                 "fingerprint": hexed(mine),
@@ -166,9 +190,9 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             }
         )
 
-    dealt = with_next(_base(docs, id_col, text_col), parts)
-    schema = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    kinds = {"n_chars": T.LongType(), "edited_sha256": T.StringType(), "fingerprint": T.StringType(), "edited_fingerprint": T.StringType(), "near_edited": T.DoubleType(), "near_next": T.DoubleType()}
+    schema = T.StructType([T.StructField("_id", id_type), *(T.StructField(n, t) for n, t in kinds.items())])
+    return with_next(base, parts).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, components: int = 64, rows: int = 4, k: int = 5) -> DataFrame:
@@ -184,7 +208,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     hashed = MinHash(components, k)
     base = _base(docs, id_col, text_col)
-    distinct = base.where("_text <> ''").groupBy(F.sha2("_text", 256).alias("_key")).agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
+    id_type = base.schema["_id"].dataType
+    id_kind = to_arrow_type(id_type)
+    distinct = base.where("_text <> '' and _id is not null").groupBy(F.sha2("_text", 256).alias("_key")).agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,12 +220,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = b.column(0).slice(i, j - i).to_pylist()
                 at = [(d, n, band.tobytes()) for d, bands in zip(ids, flat, strict=True) for n, band in enumerate(bands)]
                 d, n, v = zip(*at, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary())], ["_id", "band", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, id_kind), pa.array(n, pa.int32()), pa.array(v, pa.binary())], ["_id", "band", "value"])
 
-    bands = distinct.select("_id", "_text").mapInArrow(sign, "_id long, band int, value binary")
-    folder = shared_dir(docs.sparkSession, "bands")
-    bands.write.parquet(folder)
-    bands = docs.sparkSession.read.schema(bands.schema).parquet(folder)
+    bands = written(distinct.select("_id", "_text").mapInArrow(sign, T.StructType([T.StructField("_id", id_type), T.StructField("band", T.IntegerType()), T.StructField("value", T.BinaryType())])), "bands")
     whole = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / BLOCK)
     held = bands.join(whole, ["band", "value"]).withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("_id", "band"), F.col("_parts")))
@@ -221,4 +244,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = pa.array([v >= threshold for v in sim])
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0), b.column(1), pa.array(sim, pa.float64()))], ["a", "b", "similarity"])
 
-    return joined.mapInArrow(verify, "a long, b long, similarity double")
+    return joined.mapInArrow(verify, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("similarity", T.DoubleType())]))

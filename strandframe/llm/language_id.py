@@ -200,8 +200,10 @@ def _cut(text: Column) -> Column:
     return F.transform(F.array_distinct(starts), lambda s: F.substring(text, s.cast("int"), F.lit(size)))
 
 
-def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFrame:
-    """``docs`` with _lang_pred and _lang_score."""
+def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text", pred: str = "_lang_pred", score_col: str = "_lang_score") -> DataFrame:
+    """``docs`` with columns ``pred`` and ``score_col``, names that it must not have."""
+    if {pred.lower(), score_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"{pred} or {score_col} is a column already; name others")
     spark = docs.sparkSession
     ship(spark)
     sent, at = spark.sparkContext.broadcast(net), docs.columns.index(text_col)
@@ -213,7 +215,7 @@ def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataF
             for i, j in slices(sizes, 1 << 20):
                 part = b.slice(i, j - i)
                 label, score = own.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, pred, score_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.token_counts import byte_letters, slices
+from strandframe.llm.token_counts import MergeTransducer, byte_letters, slices
 from strandframe.runtime import shared_dir, ship
 
 SLICE_BYTES = 1 << 20
@@ -47,35 +47,27 @@ class IdEncoder:
     """Ids of whole texts, as the ``tokenizers`` library gives them for its file.
 
     The file's ranks are also given to ``tiktoken``, which merges several times faster.
-    It takes only texts whose ids are sure to be the same: ranks must follow the ids,
-    the splitter must be the byte-level one, and every character must be one of which
-    both were compared in all contexts of its class when the file was opened. All
-    other texts, and those that hold special strings, go to the library.
+    It takes only texts whose ids are sure to be the same: ``ranks_agree`` must have been
+    shown for the file, and every character must be one of which both were compared in
+    all contexts of its class when the file was opened. All other texts, and those that
+    hold special strings, go to the library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, agree: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            self.fast = self._ranked(json.load(f))
+            self.fast = self._ranked(json.load(f)) if agree else None
         self.unsafe = self._unsafe() if self.fast else re.compile("(?s).")
 
     def _ranked(self, d: dict):
         import tiktoken
 
-        m, pre = d["model"], d["pre_tokenizer"] or {}
-        plain = m["type"] == "BPE" and not d["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        if not plain or any(m.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
-            return None
-        letters, vocab = byte_letters(), m["vocab"]
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in m["merges"]]
-        order = [vocab[c] for c in letters] + [vocab[x + y] for x, y in pairs]
-        if sorted(order[:256]) + order[256:] != list(range(len(order))):
-            return None
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i < len(order)}
+        letters, m = byte_letters(), d["model"]
+        ranks = {bytes(letters[c] for c in t): i for t, i in m["vocab"].items() if i < 256 + len(m["merges"])}
         return tiktoken.Encoding("ranked", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={})
 
     def _unsafe(self) -> re.Pattern:
@@ -88,7 +80,7 @@ class IdEncoder:
         """Little-endian uint32 ids of each text."""
         out, rest = [], []
         for i, t in enumerate(texts):
-            if self.unsafe.search(t) or any(s in t for s in self.special):
+            if self.fast is None or self.unsafe.search(t) or any(s in t for s in self.special):
                 rest.append(i)
                 out.append(b"")
             else:
@@ -99,13 +91,41 @@ class IdEncoder:
         return out
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
+def ranks_agree(path: str) -> bool:
+    """Whether merging any two neighbours of least rank gives what the file's merges give.
+
+    ``tiktoken`` merges neighbours whose bytes together are an entry, the library only the
+    pairs that the file lists. Let the listed pairs make the entries in the order of their
+    ids, and each entry's bytes, merged by themselves, that entry. When two neighbours x, y
+    with the bytes of entry z come to be merged, nothing has been merged across the ends of
+    z's bytes, and within them the same merges as for z alone, all of lower rank; those
+    leave just the listed pair of z. So x, y is that pair, and both merge alike.
+    """
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    m, pre = d["model"], d["pre_tokenizer"] or {}
+    plain = m["type"] == "BPE" and not d["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    if not plain or any(m.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False
+    pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+    order = [m["vocab"][c] for c in byte_letters()] + [m["vocab"][x + y] for x, y in pairs]
+    if sorted(order[:256]) + order[256:] != list(range(len(order))):
+        return False
+    try:
+        merger = MergeTransducer(m["vocab"], pairs)
+    except ValueError:
+        return False
+    return all(merger.stands(t) for t in merger.bytes_of)
+
+
+_ENCODERS: dict[tuple[str, bool], IdEncoder] = {}
+_AGREE: dict[str, bool] = {}
 
 
-def encoder(path: str) -> IdEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = IdEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, agree: bool) -> IdEncoder:
+    if (path, agree) not in _ENCODERS:
+        _ENCODERS[path, agree] = IdEncoder(path, agree)
+    return _ENCODERS[path, agree]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str, text_col: str) -> T.DataType:
@@ -113,9 +133,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_size"))
     id_type = base.schema["_id"].dataType
     end = np.asarray([end_id], "<u4").tobytes()
+    if tokenizer_path not in _AGREE:
+        _AGREE[tokenizer_path] = ranks_agree(tokenizer_path)
+    agree = _AGREE[tokenizer_path]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, part, before = encoder(tokenizer_path, agree), TaskContext.get().partitionId(), 0
         for b in batches:
             for i, j in slices(b.column(2).to_pylist(), SLICE_BYTES):
                 ids = [x + end for x in own.encode(b.column(1).slice(i, j - i).to_pylist())]

@@ -1,8 +1,9 @@
 """Quality classifier: a regularised quadratic discriminant over text statistics.
 
-Each text is reduced to a few transformed statistics (FEATURES). Per class, count,
-sums and products of all labelled rows are added up in Spark, so the driver sees
-some hundred numbers however many rows there are. Covariances are shrunk towards
+Each text is reduced to a few transformed statistics (FEATURES). Per class, counts and
+sums of all labelled rows are added up in Spark, then the products of their distances
+from the means, so the driver sees some hundred numbers however many rows there are.
+Covariances are shrunk towards
 the pooled one and its diagonal, then factored once (Cholesky); a score is the
 logistic of the log-density difference, each density by the squared Mahalanobis
 distance that the cached factor gives, plus the log of the class shares.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.runtime import ship
+from strandframe.runtime import ship, written
 
 FEATURES = ("words", "word_length", "letters", "upper", "digits", "symbols", "shouts", "bars", "variety", "repeated_lines", "commonest", "stutter", "stops", "lines", "word_length_spread")
 SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.1, 0.05, 0.005
@@ -70,37 +71,37 @@ def statistics(text: bytes) -> list[float]:
 
 @dataclass
 class Discriminant:
-    """Means, inverse Cholesky factors and log constants of classes 0 and 1."""
+    """Means, Cholesky factors and log constants of classes 0 and 1."""
 
     means: list[np.ndarray]
-    inverse: list[np.ndarray]
+    factors: list[np.ndarray]
     const: list[float]
     only: float | None = None
 
     @classmethod
-    def from_moments(cls, n: list[float], s: list[np.ndarray], ss: list[np.ndarray]) -> Discriminant:
+    def from_moments(cls, n: list[float], means: list[np.ndarray], scatter: list[np.ndarray]) -> Discriminant:
+        """From counts, means and sums of products of distances from the means, by class."""
         total = sum(n)
         if min(n) == 0:
             return cls([], [], [], 0.5 if total == 0 else float(n[1] > 0))
-        d = len(s[0])
-        means = [s[k] / n[k] for k in (0, 1)]
-        own = [ss[k] / n[k] - np.outer(means[k], means[k]) for k in (0, 1)]
+        d = len(means[0])
+        own = [scatter[k] / n[k] for k in (0, 1)]
         pooled = (n[0] * own[0] + n[1] * own[1]) / total
         floor = 1e-6 + 1e-3 * np.diag(pooled).max()
-        inverse, const = [], []
+        factors, const = [], []
         for k in (0, 1):
             c = (1 - SHRINK_POOLED) * own[k] + SHRINK_POOLED * pooled
             c = (1 - SHRINK_DIAGONAL) * c + SHRINK_DIAGONAL * np.diag(np.diag(pooled)) + floor * np.eye(d)
             factor = np.linalg.cholesky(c)
-            inverse.append(np.linalg.inv(factor))
+            factors.append(factor)
             const.append(float(np.log(n[k] / total) - np.log(np.diag(factor)).sum()))
-        return cls(means, inverse, const)
+        return cls(means, factors, const)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 of each row of features."""
         if self.only is not None:
             return np.full(len(x), self.only)
-        log = [self.const[k] - 0.5 * (((x - self.means[k]) @ self.inverse[k].T) ** 2).sum(axis=1) for k in (0, 1)]
+        log = [self.const[k] - 0.5 * (np.linalg.solve(self.factors[k], (x - self.means[k]).T) ** 2).sum(axis=0) for k in (0, 1)]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
@@ -122,23 +123,31 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     d = len(FEATURES)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y"))
     rows = features.select(F.col(id_col).alias("_fid"), "_features").join(known, F.col("_fid") == F.col("_lid")).select("_y", "_features")
+    rows = written(rows, "labelled")  # read twice
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
-        for b in batches:
-            y = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().reshape(-1, d)
-            for k in (0, 1):
-                v = x[y == k]
-                total[k] += np.concatenate(([len(v)], v.sum(axis=0), (v.T @ v).ravel()))
-        k, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["k", "j", "v"])
+    def added(means: np.ndarray | None) -> np.ndarray:
+        """By class: counts and sums, or the products of distances from ``means``."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 1 + d if means is None else d * d))
+            for b in batches:
+                y = b.column(0).to_numpy()
+                x = b.column(1).flatten().to_numpy().reshape(-1, d)
+                for k in (0, 1):
+                    v = x[y == k]
+                    total[k] += np.concatenate(([len(v)], v.sum(axis=0))) if means is None else ((v - means[k]).T @ (v - means[k])).ravel()
+            k, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["k", "j", "v"])
+
+        out = np.zeros((2, 1 + d if means is None else d * d))
+        for r in rows.mapInArrow(add, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect():
+            out[r.k, r.j] = r.v
+        return out
 
-    sums = rows.mapInArrow(add, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros((2, 1 + d + d * d))
-    for r in sums:
-        total[r.k, r.j] = r.v
-    return Discriminant.from_moments([t[0] for t in total], [t[1 : 1 + d] for t in total], [t[1 + d :].reshape(d, d) for t in total])
+    first = added(None)
+    n = first[:, 0]
+    means = first[:, 1:] / np.maximum(n, 1)[:, None]
+    return Discriminant.from_moments(n.tolist(), list(means), list(added(means).reshape(2, d, d)))
 
 
 def scored(features: DataFrame, model: Discriminant) -> DataFrame:
@@ -161,8 +170,10 @@ def scored(features: DataFrame, model: Discriminant) -> DataFrame:
     return features.mapInArrow(run, T.StructType(fields))
 
 
-def scored_texts(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
-    """``docs`` with _score, statistics and score in one pass over the texts."""
+def scored_texts(docs: DataFrame, model: Discriminant, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """``docs`` with ``score_col``, a name that it must not have: statistics and score in one pass over the texts."""
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"{score_col} is a column already; name another")
     spark = docs.sparkSession
     ship(spark)
     sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
@@ -170,6 +181,6 @@ def scored_texts(docs: DataFrame, model: Discriminant, text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.asarray([statistics(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(got))], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(got))], [*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -17,7 +17,7 @@ from strandframe.llm.quality import fit, scored, with_features
 from strandframe.llm.sharding import ShardStore
 from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.url_filter import filter_urls
-from strandframe.runtime import read_table, shared_dir
+from strandframe.runtime import read_table, shared_dir, written
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -51,7 +51,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     store.append(docs.withColumn("batch", F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / 7), F.lit(ARRIVALS))), "batch")
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # nobody else writes here
     rows = store.read()
     if rows is None:
         return docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("first_arrival", "last_arrival", "tier", "run_rows", "run_bytes", "n_bytes")))
@@ -95,9 +95,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_features(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    folder = shared_dir(spark, "quality")
-    rows.write.parquet(folder)
-    rows = spark.read.schema(rows.schema).parquet(folder)
+    rows = written(rows, "quality")
     model = fit(rows.where(_remainder(3) != 1), read_table(spark, sf_dir, "labels"))
     return scored(rows, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 

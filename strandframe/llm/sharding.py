@@ -2,15 +2,16 @@
 
 A store is a folder in shared storage:
 
-    data/<load>/arrival=<n>/part-*.parquet   shards as they arrived
-    data/run-<id>/part-*.parquet             merged runs, files of about target size
-    manifest/v<k>/part-*.parquet             the runs that version k consists of
+    data/<load>/_shard_arrival=<n>/part-*.parquet   shards as they arrived
+    data/run-<id>/part-*.parquet                    merged runs, files of about target size
+    manifest/v<k>.json                              the runs that version k consists of
 
 Nothing that a manifest names is ever changed. A version becomes current by the
-rename of a finished folder to ``manifest/v<k>``, which the file system does for
-one writer only; a reader sees version k or k-1 and never a mixture. A job that
-dies leaves folders that no manifest names (``vacuum`` removes them), and can
-simply run again.
+rename of a finished file to ``manifest/v<k>.json``; a reader sees version k or k-1
+and never a mixture. Before that a writer claims the version with a token of its own.
+A job that dies leaves files that no manifest names (``vacuum`` removes them once they
+are older than its grace time) and at most a claim, which the next writer takes over
+once it is older than ``lease_seconds``; so the job can simply run again.
 
 Sizes are logical (UTF-8 bytes of the payload), so that layout does not depend on
 a compressor. A run of s bytes lies in tier 0 below ``base_bytes`` and in tier k
@@ -24,18 +25,26 @@ target size without a shuffle, and writes. What the driver holds is the manifest
 one row a run, of which there are at most ``fanout - 1`` for each tier and the
 arrivals of one load. Null payloads count 0 bytes; empty arrivals make no shard;
 an empty store has an empty manifest; repeated rows stay; columns are kept as
-they are, except one named ``arrival`` which the caller must rename first.
+they are (``_shard_arrival`` is the store's own and refused). ``read`` adds columns on
+runs; where rows have a column of such a name, its own gets underscores before it.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandframe.runtime import fresh_names
+
+#: Up to so many bytes of manifest ``read`` broadcasts it, beyond that it is joined.
+BROADCAST_BYTES = 8 << 20
+ARRIVAL = "_shard_arrival"
 MANIFEST = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -65,10 +74,10 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, base_bytes: int = 256 << 20, fanout: int = 4, target_bytes: int = 1 << 30, size_col: str = "text") -> None:
+    def __init__(self, spark: SparkSession, root: str, base_bytes: int = 256 << 20, fanout: int = 4, target_bytes: int = 1 << 30, size_col: str = "text", lease_seconds: float = 600) -> None:
         if fanout < 2:
             raise ValueError("fanout must be 2 at least")
-        self.spark, self.root, self.base, self.fanout, self.target, self.size_col = spark, root.rstrip("/"), base_bytes, fanout, target_bytes, size_col
+        self.spark, self.root, self.base, self.fanout, self.target, self.size_col, self.lease = spark, root.rstrip("/"), base_bytes, fanout, target_bytes, size_col, lease_seconds
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -83,41 +92,58 @@ class ShardStore:
         if not self._fs.exists(folder):
             return 0
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([0, *(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())])
+        return max([0, *(int(n[1:-5]) for n in names if n[0] == "v" and n.endswith(".json") and n[1:-5].isdigit())])
 
     def runs(self, version: int | None = None) -> list[Run]:
         v = self.version() if version is None else version
         if v == 0:
             return []
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v}").collect()
+        rows = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/v{v}.json").collect()
         return sorted((Run(**r.asDict()) for r in rows), key=lambda r: (r.first_arrival, r.run_id))
 
     def commit(self, runs: list[Run], seen: int) -> int:
         """Make ``runs`` version seen + 1, or raise CommitConflict and change nothing."""
-        rows = [tuple(getattr(r, f.name) for f in MANIFEST) for r in runs]
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(staged)
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        target = self._path(f"{self.root}/manifest/v{seen + 1}")
-        # A rename onto an existing folder would move into it, so that is ruled out first;
-        # mkdirs of a claim is the tie-breaker for writers that pass this at once.
-        claim = self._path(f"{self.root}/manifest/claim-{seen + 1}")
-        taken = self._fs.exists(target)
-        if not taken:
-            try:
-                self._fs.create(claim, False).close()
-            except Exception as e:  # FileAlreadyExistsException of the file system at hand
-                if not self._fs.exists(claim):
-                    raise
-                taken = e
-        if taken:
-            self._fs.delete(self._path(staged), True)
-            raise CommitConflict(f"version {seen + 1} exists or is being made")
-        if not self._fs.rename(self._path(staged), target):
-            self._fs.delete(claim, False)
-            raise CommitConflict(f"version {seen + 1} could not be renamed into place")
+        token = uuid.uuid4().hex
+        manifest, name = f"{self.root}/manifest", f"v{seen + 1}.json"
+        claim, target, staged = (self._path(f"{manifest}/{n}") for n in (f"claim-{seen + 1}", name, f"staged-{token}"))
+        self._fs.mkdirs(self._path(manifest))
+        self._claim(claim, target, token)
+        self._put(staged, "".join(json.dumps(asdict(r)) + "\n" for r in runs), False)
+        # Where a claim was taken over from a writer that lives on, the token tells whose turn it
+        # is, and the rename, which does not replace a file on a cluster's file system, has the last word.
+        if self._fs.exists(target) or self._said(claim) != token or not self._fs.rename(staged, target):
+            self._fs.delete(staged, False)
+            raise CommitConflict(f"version {seen + 1} was made by another writer")
+        self._fs.delete(claim, False)
         return seen + 1
 
+    def _claim(self, claim, target, token: str) -> None:
+        """Put ``token`` into the claim, which must be new or older than the lease."""
+        if not self._fs.exists(target):
+            if not self._fs.exists(claim):
+                try:
+                    return self._put(claim, token, False)
+                except Exception:  # FileAlreadyExistsException of the file system at hand
+                    if not self._fs.exists(claim):
+                        raise
+            elif time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 >= self.lease:
+                return self._put(claim, token, True)
+        raise CommitConflict(f"{target.getName()} exists or is being made")
+
+    def _put(self, path, text: str, replace: bool) -> None:
+        out = self._fs.create(path, replace)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _said(self, path) -> str | None:
+        if not self._fs.exists(path):
+            return None
+        held = self._fs.open(path)
+        try:
+            return str(self._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
+        finally:
+            held.close()
+
     # --- writes -------------------------------------------------------------------
 
     def tier(self, n_bytes: int) -> int:
@@ -138,8 +164,10 @@ class ShardStore:
         load = f"{self.root}/data/load-{uuid.uuid4().hex}"
         number = F.coalesce(F.col(arrival_col).cast("long"), F.lit(0)) if arrival_col else F.lit(0)
         kept = rows.drop(arrival_col) if arrival_col else rows
-        kept = rows.select(*kept.columns, (number.cast("long") + offset).alias("arrival"))
-        kept.write.partitionBy("arrival").parquet(load)
+        if ARRIVAL in (c.lower() for c in kept.columns):
+            raise ValueError(f"{ARRIVAL} is a column of the store's own")
+        kept = rows.select(*kept.columns, (number.cast("long") + offset).alias(ARRIVAL))
+        kept.write.partitionBy(ARRIVAL).parquet(load)
         return self.commit(held + self._new(load, kept.schema), seen)
 
     def _new(self, path: str, schema: T.StructType, by_arrival: bool = True, first: int = 0, last: int = 0) -> list[Run]:
@@ -149,8 +177,8 @@ class ShardStore:
         if not by_arrival:
             r = written.agg(F.count("*").alias("n"), size.alias("b")).first()
             return [Run(path.rpartition("/")[2], first, last, self.tier(r.b), r.n, r.b, path)]
-        found = written.groupBy(F.col("arrival").cast("long").alias("a")).agg(F.count("*").alias("n"), size.alias("b")).collect()
-        return [Run(f"shard-{r.a}", r.a, r.a, self.tier(r.b), r.n, r.b, f"{path}/arrival={r.a}") for r in found]
+        found = written.groupBy(F.col(ARRIVAL).cast("long").alias("a")).agg(F.count("*").alias("n"), size.alias("b")).collect()
+        return [Run(f"shard-{r.a}", r.a, r.a, self.tier(r.b), r.n, r.b, f"{path}/{ARRIVAL}={r.a}") for r in found]
 
     def plan(self, runs: list[Run]) -> list[list[Run]]:
         """The merges of the lowest tier that has any: lists of ``fanout`` runs."""
@@ -201,23 +229,32 @@ class ShardStore:
         if not runs:
             return None
         rows = self.spark.read.parquet(*(r.path for r in runs))
-        rows = rows.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(?:load-[^/]+/arrival=(\d+)|(run-[^/]+))/", 0))
-        named = F.regexp_extract("_folder", r"arrival=(\d+)", 1)
-        run_id = F.when(named != "", F.concat(F.lit("shard-"), named)).otherwise(F.regexp_extract("_folder", r"(run-[^/]+)/", 1))
+        folder, run_id, *others = fresh_names(rows, "_folder", "run_id", "first_arrival", "last_arrival", "tier", "n_rows", "n_bytes")
+        rows = rows.withColumn(folder, F.regexp_extract(F.col("_metadata.file_path"), rf"/data/(?:load-[^/]+/{ARRIVAL}=(\d+)|(run-[^/]+))/", 0))
+        named = F.regexp_extract(folder, rf"{ARRIVAL}=(\d+)", 1)
+        rows = rows.withColumn(run_id, F.when(named != "", F.concat(F.lit("shard-"), named)).otherwise(F.regexp_extract(folder, r"(run-[^/]+)/", 1)))
         # The manifest is a few rows for each tier: see the class comment.
-        listed = self.spark.createDataFrame([(r.run_id, r.first_arrival, r.last_arrival, r.tier, r.n_rows, r.n_bytes) for r in runs], "run_id string, first_arrival long, last_arrival long, tier int, n_rows long, n_bytes long")
-        return rows.withColumn("run_id", run_id).drop("_folder").join(listed, "run_id")
+        kinds = ("string", "long", "long", "int", "long", "long")
+        listed = self.spark.createDataFrame([(r.run_id, r.first_arrival, r.last_arrival, r.tier, r.n_rows, r.n_bytes) for r in runs], ", ".join(f"`{c}` {k}" for c, k in zip((run_id, *others), kinds, strict=True)))
+        if sum(len(r.run_id) + 64 for r in runs) <= BROADCAST_BYTES:
+            listed = F.broadcast(listed)
+        return rows.drop(folder).join(listed, run_id)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete data folders that none of the last ``keep`` versions names; how many."""
+    def vacuum(self, keep: int = 1, grace_seconds: float = 7 * 86400) -> int:
+        """Delete data folders that none of the last ``keep`` versions names; how many.
+
+        Folders changed within ``grace_seconds`` stay, as a writer may be about to commit
+        them: the time must be longer than any write takes.
+        """
         v = self.version()
         named = {r.path.rpartition("/data/")[2] for k in range(max(1, v - keep + 1), v + 1) for r in self.runs(k)}
+        before = (time.time() - grace_seconds) * 1000
         gone = 0
         data = self._path(f"{self.root}/data")
         for s in self._fs.listStatus(data) if self._fs.exists(data) else []:
             name = s.getPath().getName()
-            inner = [f"{name}/{x.getPath().getName()}" for x in self._fs.listStatus(s.getPath()) if x.isDirectory()] if name.startswith("load-") else [name]
-            for folder in inner:
-                if folder not in named:
+            inner = [(f"{name}/{x.getPath().getName()}", x) for x in self._fs.listStatus(s.getPath()) if x.isDirectory()] if name.startswith("load-") else [(name, s)]
+            for folder, status in inner:
+                if folder not in named and max(status.getModificationTime(), s.getModificationTime()) <= before:
                     gone += self._fs.delete(self._path(f"{self.root}/data/{folder}"), True)
         return gone

@@ -14,13 +14,19 @@ Two deterministic transducers stand for the tokenizer:
    count. States are made when first met (lazy determinization) and interned; the
    table is bounded and starts anew when full.
 
-A piece start sends every state to the initial one. Text is cut into chunks at
-piece starts; each chunk's state map is then constant, so the prefix scan that
-composes the maps comes down to a segmented sum of the chunks' counts. All chunks
-of a batch advance in lock-step in numpy.
+Text is cut into chunks that advance in lock-step in numpy. A chunk's map takes the
+state in which it is entered to the state in which it is left and the tokens made
+between. Where a chunk begins with a piece, its map is constant, as a piece start
+sends every state to the initial one. Where it begins within a piece (no piece start
+is near), the map is worked out at the state that LEAD bytes before the chunk lead
+to, which is nearly always the one asked for, as states soon forget what lies behind.
+A scan along the chunks then composes the maps: each chunk must be entered in the
+state in which the one before was left; a map that was not worked out there is, and
+the scan goes on until all agree. Counts are exact whatever was guessed.
 
 Null texts count as empty. Texts may be of any length: memory follows the batch
-(sliced to about SLICE_BYTES), except that a single text is never cut. Repeated
+(sliced to about SLICE_BYTES), except that a single text is never cut; when the table
+holds MAX_STATES states it starts anew from those in use. Repeated
 rows are counted each for itself; an empty table gives an empty result; extra
 columns are not read. Unsupported files (normalizers, other pre-tokenizers,
 dropout, unknown tokens) raise ValueError when compiled.
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 
 from strandframe.runtime import ship
 
-CHUNK, SLICE_BYTES, MAX_STATES = 256, 2 << 20, 1 << 17
+CHUNK, LEAD, SLICE_BYTES, MAX_STATES = 256, 64, 2 << 20, 1 << 16
 LETTER, NUMBER, SPACE, WHITE, OTHER, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: The contractions that the splitter takes as pieces of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -94,6 +100,25 @@ class MergeTransducer:
         self.ids: dict[tuple, int] = {self.keys[0]: 0}
         self.table = np.full(1024 * 256, -1, np.int32)
 
+    def _intern(self, key: tuple) -> int:
+        """The number of a state."""
+        s = self.ids.get(key)
+        if s is None:
+            s = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            if len(self.keys) * 256 > len(self.table):
+                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+        return s
+
+    def _restart(self, live: list[np.ndarray]) -> None:
+        """Forget all states but those in ``live``, whose numbers change in place."""
+        used = np.unique(np.concatenate(live))
+        keys = [self.keys[s] for s in used.tolist()]
+        self.reset()
+        new = np.asarray([self._intern(k) for k in keys], np.int32)
+        for a in live:
+            a[:] = new[np.searchsorted(used, a)]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens together leaves just these two.
 
@@ -116,7 +141,7 @@ class MergeTransducer:
                 before, b = rb + 1, self.split[b][0]
             else:
                 break
-        if len(self._fit) > 1 << 20:
+        if len(self._fit) > 1 << 18:
             self._fit.clear()
         self._fit[left, right] = ok
         return ok
@@ -163,27 +188,25 @@ class MergeTransducer:
             if self.inner[nxt]:
                 live.append((nxt, last, since))
         gain = 1 - met[1]
-        key = tuple(sorted([*((n, last, since + gain) for n, last, since in live), (0, met[0], 0)]))
-        s = self.ids.get(key)
-        if s is None:
-            s = self.ids[key] = len(self.keys)
-            self.keys.append(key)
-            if len(self.keys) * 256 > len(self.table):
-                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+        if not -8 <= gain <= 7:
+            raise ValueError(f"a transition gains {gain} tokens, which the table can't hold")
+        s = self._intern(tuple(sorted([*((n, last, since + gain) for n, last, since in live), (0, met[0], 0)])))
         packed = s * 16 + gain + 8
         self.table[state << 8 | byte] = packed
         return packed
 
-    def run(self, data: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Token counts of the chunks data[starts[i]:starts[i+1]]; inside: 0 at piece starts."""
-        if len(self.keys) > MAX_STATES:
-            self.reset()
-        lengths = np.diff(np.append(starts, len(data)))
+    def _advance(self, data: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, live: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of data[start:start+length] at the states ``entry``: states left in, tokens made.
+
+        ``live`` are arrays of states in use elsewhere, which a restart renumbers.
+        """
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order].astype(np.int64), lengths[order]
-        state, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        state, count = entry[order], np.zeros(len(at), np.int64)
         active = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")
         for s, n in enumerate(active):
+            if len(self.keys) > MAX_STATES:
+                self._restart([state, *live])
             pos = at[:n] + s
             k = state[:n] * inside[pos] * 256 + data[pos]
             got = self.table[k]
@@ -194,9 +217,24 @@ class MergeTransducer:
                 got = self.table[k]
             state[:n] = got >> 4
             count[:n] += (got & 15) - 8
-        out = np.empty(len(at), np.int64)
-        out[order] = count
-        return out
+        out, total = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
+        out[order], total[order] = state, count
+        return out, total
+
+    def run(self, data: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Token counts of the chunks data[starts[i]:starts[i+1]]; inside: 0 at piece starts."""
+        lengths = np.diff(np.append(starts, len(data)))
+        entry = np.zeros(len(starts), np.int32)
+        within = np.flatnonzero(inside[starts])  # never the first: data begin with a piece
+        if len(within):
+            begin = np.flatnonzero(inside == 0)
+            lead = np.maximum(starts[within] - LEAD, begin[np.searchsorted(begin, starts[within], side="right") - 1])
+            entry[within], _ = self._advance(data, inside, lead, starts[within] - lead, entry[within], [entry])
+        left, count = self._advance(data, inside, starts, lengths, entry, [entry])
+        while len(wrong := within[entry[within] != left[within - 1]]):
+            entry[wrong] = left[wrong - 1]
+            left[wrong], count[wrong] = self._advance(data, inside, starts[wrong], lengths[wrong], entry[wrong], [entry, left])
+        return count
 
 
 class TokenCounter:
@@ -297,8 +335,11 @@ class TokenCounter:
         inside[at[start]] = 0
         begin = at[np.cumsum(lengths) - lengths]
         where = at[start]
-        cuts = where[np.minimum(np.searchsorted(where, np.arange(0, len(raw), CHUNK)), len(where) - 1)]
-        chunks = np.unique(np.concatenate([cuts, begin]))
+        # A cut goes on to the next piece start, but not over another chunk's length.
+        even = np.arange(0, len(raw), CHUNK)
+        after = np.append(where, len(raw))[np.searchsorted(where, even)]
+        chunks = np.unique(np.concatenate([np.where(after - even < CHUNK, after, even), begin]))
+        chunks = chunks[chunks < len(raw)]
         counts = self.merger.run(raw.astype(np.int32), inside, chunks)
         text_of = np.searchsorted(begin, chunks, side="right") - 1
         np.add.at(out, np.asarray(owner)[text_of], counts)

@@ -206,12 +206,22 @@ def test_contamination_equals_brute_force(spark, block):
     clean = decontaminate(df, bench, block_bytes=block)
     assert clean.columns == df.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t in docs if brute_hits(t, ITEMS)[1] == 0)
-    for r in decontaminate(df, bench, mode="span", block_bytes=1 << 20).collect():
+    for r in decontaminate(df, bench, mode="span", block_bytes=block).collect():
         assert brute_hits(r.text, ITEMS)[1] == 0
         if brute_hits(dict(docs).get(r.doc_id), ITEMS)[1] == 0:
             assert r.text == dict(docs)[r.doc_id]
 
 
+def test_spans_are_cut_until_no_block_finds_any(spark):
+    """An item that stands around another one comes together when that is cut."""
+    a = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, "x " + a[:13] + " p q r " + a[14:] + " y"), (2, "p q"), (3, None)], "doc_id long, text string")
+    items = [(1, a), (2, "p q r")]
+    for block in (8 << 20, 5):
+        got = {r.doc_id: r.text for r in decontaminate(df, spark.createDataFrame(items, "item_id long, text string").coalesce(1), mode="span", block_bytes=block).collect()}
+        assert got[1].split() == ["x", "y"] and got[2] == "p q" and got[3] is None
+
+
 def test_decontamination_with_nothing_to_find(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

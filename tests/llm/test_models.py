@@ -80,6 +80,55 @@ def test_quality_accuracy_on_held_out_documents(spark):
     assert np.mean([got[i].predicted == q for i, q in truth.items() if got[i].held_out]) > 0.97
 
 
+def density_shares(x, part):
+    """The share of class 1 in two normal densities, written out: no factor, no product sums."""
+    n = [len(p) for p in part]
+    mean = [p.mean(axis=0) for p in part]
+    own = [np.cov(p.T, bias=True) for p in part]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    out = []
+    for v in x:
+        density = []
+        for k in (0, 1):
+            c = 0.95 * (0.9 * own[k] + 0.1 * pooled) + 0.05 * np.diag(np.diag(pooled)) + (1e-6 + 1e-3 * np.diag(pooled).max()) * np.eye(len(v))
+            gap = v - mean[k]
+            density.append(np.log(n[k] / sum(n)) - 0.5 * (np.linalg.slogdet(c)[1] + gap @ np.linalg.inv(c) @ gap))
+        out.append(1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700))))
+    return np.array(out)
+
+
+def test_a_tie_of_classes_is_half():
+    model = Discriminant.from_moments([5, 5], [np.zeros(3), np.zeros(3)], [np.eye(3), np.eye(3)])
+    assert model.score(np.array([[1.0, 2.0, 3.0]])).tolist() == [0.5]
+
+
+def test_prediction_equals_plain_loops():
+    """Windows, pooling, softmax and the weighted mean by loops over letters and filters."""
+    net = ByteConvNet.start(["a", "b", "c"], 3)
+    rng = np.random.default_rng(4)
+    net.bias, net.out_bias = rng.normal(0, 0.2, net.bias.shape).astype(np.float32), rng.normal(0, 0.2, 3).astype(np.float32)
+    texts = ["The quick 1 brown fox!", "ab " * 150 + "Zürich", "x"]
+    label, score = net.predict(texts)
+    for text, got, s in zip(texts, label, score, strict=True):
+        raw = b" ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode().split())
+        total, weight = np.zeros(3), 0
+        for a in range(0, len(raw), 256):
+            part = raw[a : a + 256]
+            e = [net.embed[c] for c in part.ljust(256, b"\0") + b"\0\0\0"]
+            top = []
+            for f in range(net.conv.shape[1]):
+                width = (2, 3, 4)[f // 8]
+                reply = [sum(float(e[i + j] @ net.conv[8 * j : 8 * j + 8, f]) for j in range(width)) for i in range(256)]
+                top.append(max(0.0, max(reply) + float(net.bias[f])))
+            total += len(part) * (np.array(top) @ net.out + net.out_bias)
+            weight += len(part)
+        p = np.exp(total / weight - (total / weight).max())
+        p /= p.sum()
+        assert got == net.langs[int(p.argmax())] and s == pytest.approx(p.max(), abs=1e-4)
+    net.out[:], net.out_bias[:] = 0, 0
+    assert net.predict(["tie"])[0] == ["a"] and net.predict(["tie"])[1][0] == pytest.approx(1 / 3)
+
+
 def test_moments_in_spark_equal_numpy(spark):
     rnd = random.Random(2)
     docs = [(i, " ".join(rnd.choice(["ab", "cd!", "$$$", "XY", "q\n"]) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
@@ -91,12 +140,12 @@ def test_moments_in_spark_equal_numpy(spark):
     y = [(i, q) for i, q in labels if i is not None and q is not None]
     x = {i: statistics(t.encode()) for i, t in docs}
     part = [np.array([x[i] for i, q in y if q == k]) for k in (0, 1)]
-    want = Discriminant.from_moments([len(p) for p in part], [p.sum(axis=0) for p in part], [p.T @ p for p in part])
     allx = np.array([x[i] for i, _ in docs])
-    assert np.allclose(model.score(allx), want.score(allx), atol=1e-9)
+    want = density_shares(allx, part)
+    assert np.allclose(model.score(allx), want, atol=1e-9)
     a = {r.doc_id: r._score for r in scored(rows.select("doc_id", "_features"), model).collect()}
     b = {r.doc_id: r._score for r in scored_texts(df, model).collect()}
-    assert a == b and np.allclose([a[i] for i, _ in docs], want.score(allx))
+    assert a == b and np.allclose([a[i] for i, _ in docs], want, atol=1e-9)
 
 
 def test_quality_edges(spark):

@@ -37,7 +37,7 @@ def test_appends_merges_and_reads_keep_every_row(spark):
     now = sorted((r.doc_id, r.text) for r in store.read().select("doc_id", "text").collect())
     assert now == sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
     assert store.read(1).count() == 40
-    assert store.vacuum() > 0 and store.read().count() == 580
+    assert store.vacuum() == 0 and store.vacuum(grace_seconds=0) > 0 and store.read().count() == 580
 
 
 def test_two_writers_of_one_version_conflict(spark):
@@ -51,6 +51,80 @@ def test_two_writers_of_one_version_conflict(spark):
     assert a.version() == 2 and a.read().count() == 10
 
 
+@pytest.mark.parametrize("dies_at", ["before the claim", "after the claim", "after the staged file"])
+def test_a_writer_that_dies_blocks_nobody(spark, monkeypatch, dies_at):
+    root = shared_dir(spark, "shards")
+    store = ShardStore(spark, root, 100, 2, lease_seconds=0)
+    store.append(docs(spark, 5))
+
+    class Killed(BaseException):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        if dies_at == "before the claim":
+            m.setattr(ShardStore, "_claim", die)
+        elif dies_at == "after the claim":
+            m.setattr(ShardStore, "_put", lambda self, path, text, replace, f=ShardStore._put: f(self, path, text, replace) if "claim" in path.getName() else die())
+        else:
+            m.setattr(ShardStore, "_said", die)
+        with pytest.raises(Killed):
+            store.append(docs(spark, 7, 5))
+    assert store.version() == 1 and store.read().count() == 5
+    if dies_at != "before the claim":  # while the lease lasts nobody else may commit
+        with pytest.raises(CommitConflict):
+            ShardStore(spark, root, 100, 2).append(docs(spark, 7, 5))
+    assert store.append(docs(spark, 7, 5)) == 2 and store.read().count() == 12
+
+
+def test_a_writer_whose_claim_was_taken_over_changes_nothing(spark, monkeypatch):
+    root = shared_dir(spark, "shards")
+    slow, fast = ShardStore(spark, root, 100, 2), ShardStore(spark, root, 100, 2, lease_seconds=0)
+    put = ShardStore._put
+
+    def late(self, path, text, replace):
+        put(self, path, text, replace)
+        if self is slow and "claim" in path.getName():
+            fast.append(docs(spark, 3))
+
+    monkeypatch.setattr(ShardStore, "_put", late)
+    with pytest.raises(CommitConflict):
+        slow.append(docs(spark, 9))
+    assert fast.version() == 1 and fast.read().count() == 3
+
+
+def test_vacuum_spares_what_is_about_to_be_committed(spark, monkeypatch):
+    root = shared_dir(spark, "shards")
+    store, other = ShardStore(spark, root, 100, 2), ShardStore(spark, root, 100, 2)
+    store.append(docs(spark, 5))
+    commit = ShardStore.commit
+    monkeypatch.setattr(ShardStore, "commit", lambda self, runs, seen: (other.vacuum(), commit(self, runs, seen))[1])
+    store.append(docs(spark, 7, 5))
+    assert store.read().count() == 12
+
+
+def test_payload_columns_named_like_the_store_s(spark):
+    store = ShardStore(spark, shared_dir(spark, "shards"), 10, 2)
+    df = spark.createDataFrame([(1, "a", 5, "r", 9, "m"), (2, "b", 6, "s", 8, None)], "doc_id long, text string, tier int, run_id string, arrival int, _folder string")
+    store.append(df)
+    store.append(df)
+    store.compact()
+    got = store.read()
+    assert {"tier", "_tier", "run_id", "_run_id"} <= set(got.columns)
+    assert sorted(tuple(r) for r in got.select(df.columns).collect()) == sorted(tuple(r) for r in df.union(df).collect())
+    with pytest.raises(ValueError):
+        store.append(df.withColumnRenamed("tier", "_shard_arrival"))
+
+
+def test_the_manifest_is_broadcast(spark):
+    store = ShardStore(spark, shared_dir(spark, "shards"), 100, 2)
+    store.append(docs(spark, 50))
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_null_payloads_extra_columns_and_empty_arrivals(spark):
     store = ShardStore(spark, shared_dir(spark, "shards"), 10, 2)
     df = spark.createDataFrame([(1, None, "k"), (1, None, "k"), (None, "é", None)], "doc_id long, text string, tier_name string")
@@ -134,6 +208,60 @@ def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null texts and ids, repeated rows and ids, columns with the stages' own names."""
+    named = ["_lang_pred", "_lang_score", "_features", "_score", "_row", "_key", "_keep", "_name", "_alone", "_dc_words", "_dc_spans", "_id", "_text", "part", "n"]
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, "a b c d e f g", None, None, 1), (1, None, "en", "x", 0), (1, "a b c d e f g", "en", "x", 3), (1, "a b c d e f g", "en", "x", 3), (7, "", None, None, 0)], base.schema)
+    at = base.unionByName(odd)
+    for i, c in enumerate(named):
+        at = at.withColumn(c, F.lit(i))
+    for name, stage in corpus_pipeline.STAGES:
+        path = shared_dir(spark, name)
+        stage(spark, at, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "packing":
+            assert out.columns == at.columns
+            assert all(r[c] == i for r in out.select(named).collect() for i, c in enumerate(named))
+        if name == "ngram_jaccard":
+            assert out.where("text = 'a b c d e f g'").count() <= 1
+        if name != "quality":  # the odd rows go on
+            at = out
+    assert out.count() > 0
+
+
+def test_operators_take_ids_of_any_type_and_clashing_columns(spark):
+    from strandframe.llm.decontamination import contamination, decontaminate
+    from strandframe.llm.fingerprints import edit_check, fingerprint, near_duplicates
+    from strandframe.llm.jaccard_join import jaccard_components, jaccard_links, keep_one
+    from strandframe.llm.packing import pack_sequences
+    from strandframe.llm.token_counts import count_tokens
+    from strandframe.llm.url_filter import filter_urls
+
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", t, 1, 2, 3, 4), ("a", f"{t} end", 1, 2, 3, 4), (None, "null id", 1, 2, 3, 4), ("c", None, 1, 2, 3, 4), ("c", None, 1, 2, 3, 4), ("ä long id", "z " * 100, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _id int, _text int, _dc_words int, _dc_spans int")
+    bench = spark.createDataFrame([("i", "w1 w2 w3"), (None, "z z z z")], "item_id string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    n = len(rows)
+    assert {r.doc_id: r.component_id for r in jaccard_components(df).collect()} == {"a": "a", "b": "a", None: None, "c": "c", "ä long id": "ä long id"}
+    assert keep_one(df).count() == n - 1
+    assert [(r.a, r.b) for r in jaccard_links(df)[0].collect()] == [("a", "b")]
+    assert [(r.a, r.b) for r in near_duplicates(df).collect()] == [("a", "b")]
+    assert fingerprint(df).count() == n
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    checked = {r.doc_id: r.edited_sha256 for r in edit_check(df).collect()}
+    x, y = order[1][1], order[2][1]
+    assert checked["a"] == hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()
+    assert sorted(r.n_hit for r in contamination(df, bench).collect()) == [0, 0, 0, 3, 3, 100]
+    clean = decontaminate(df, bench)
+    assert clean.columns == df.columns and clean.count() == 3
+    assert count_tokens(df, path).count() == n
+    assert pack_sequences(df, path).select("doc_id").distinct().count() == 5
+    urls = spark.createDataFrame([("p", "http://a.org/" + "x/" * 50_000, 1), (None, None, 2)], "page_id string, url string, verdict int")
+    assert sorted(r.verdict for r in filter_urls(urls, [("org/", "block")]).collect()) == ["allow", "block"]
+
+
 def test_hostile_conversation_is_read_back(spark):
     r = next(x for x in Q.op7_chat_format(spark, SF).collect() if x.conv_id == -7)
     text = Q.HOSTILE

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from strandframe.llm.packing import encoder, pack_sequences
+from strandframe.llm.packing import encoder, pack_sequences, ranks_agree
 from strandframe.llm.token_counts import MergeTransducer, TokenCounter, count_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,8 +82,60 @@ def test_count_query_rows(spark, library):
 def test_encoder_equals_the_library(library):
     t = texts(6000, 4) + ["word " * 100, "a" * 3000]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(t, add_special_tokens=False)]
-    assert encoder(PATH).encode(t) == want
-    assert encoder(PATH).fast is not None
+    assert ranks_agree(PATH)
+    assert encoder(PATH, True).fast is not None and encoder(PATH, False).fast is None
+    assert encoder(PATH, True).encode(t) == encoder(PATH, False).encode(t) == want
+
+
+def test_ranks_that_listed_merges_do_not_follow_are_refused(tmp_path):
+    """abc is listed as a + bc only, but ab comes first: other neighbours of those bytes would merge."""
+    import json
+
+    from strandframe.llm.token_counts import byte_letters
+
+    with open(PATH, encoding="utf-8") as f:
+        d = json.load(f)
+    vocab = {c: i for i, c in enumerate(byte_letters())}
+    for t in ("ab", "bc", "abc"):
+        vocab[t] = len(vocab)
+    d["model"]["vocab"], d["added_tokens"] = vocab, []
+    for merges, agree in (([["a", "b"], ["b", "c"], ["a", "bc"]], False), ([["a", "b"], ["b", "c"], ["ab", "c"]], True)):
+        d["model"]["merges"] = merges
+        path = tmp_path / f"{agree}.json"
+        path.write_text(json.dumps(d))
+        assert ranks_agree(str(path)) is agree
+
+
+def test_long_pieces_are_cut_into_chunks(library, monkeypatch):
+    """Runs without a piece start within reach: chunk maps are composed, also where a guess was wrong
+    and where the table starts anew while chunks advance."""
+    import strandframe.llm.token_counts as tc
+
+    rnd = random.Random(8)
+    t = ["a" * 100_000, "x" + "ab" * 30_000, " " * 5000 + "b", "!?" * 9000, "日本語" * 3000, "".join(rnd.choice("abcdefghij") for _ in range(20_000)), "", "short one"]
+    want = [len(e.ids) for e in library.encode_batch(t, add_special_tokens=False)]
+    own = TokenCounter(PATH)
+    assert own.count(t).tolist() == want
+    for lead, states in ((0, 1 << 16), (3, 1 << 16), (64, 3000)):
+        monkeypatch.setattr(tc, "LEAD", lead)
+        monkeypatch.setattr(tc, "MAX_STATES", states)
+        again = TokenCounter(PATH)
+        assert again.count(t).tolist() == want
+        assert len(again.merger.keys) < 2 * states
+
+
+def test_a_gain_that_does_not_fit_is_refused():
+    from strandframe.llm.token_counts import byte_letters
+
+    vocab, merges = {c: i for i, c in enumerate(byte_letters())}, []
+    word = "a"
+    for c in "bcdefghijklm":  # suffixes only, so that ten tokens become one at the last letter
+        vocab[c + "z"] = len(vocab)
+        merges.append((c, "z"))
+    t = MergeTransducer(vocab, merges)
+    t.keys[0] = ((0, -1, 12),)
+    with pytest.raises(ValueError, match="gains"):
+        t.step(0, ord(word))
 
 
 def test_pieces_tile_documents_and_windows(spark, library):
