@@ -304,6 +304,20 @@ def gram_table(cells: DataFrame) -> DataFrame:
     return pairs.groupBy("c1", "c2").agg(F.count("*").alias("n"))
 
 
+#: Tables with more cells than this are not taken to the driver.
+DRIVER_CELLS = 50_000_000
+
+
+def gram_matrix(cells: DataFrame, n_cols: int) -> np.ndarray:
+    """``gram_table`` as a matrix on the driver: its size is known from the columns alone."""
+    if n_cols * n_cols > DRIVER_CELLS:
+        raise ValueError(f"{n_cols} columns: the products of all pairs are too many for the driver")
+    g = gram_table(cells).toPandas()
+    gram = np.zeros((n_cols, n_cols))
+    gram[g["c1"], g["c2"]] = g["n"]
+    return gram
+
+
 def scalar_kmeans(table: Table, labels: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Columns go to the block means nearest to them until the residual stays."""
     labels, loss = labels.copy(), table.sse(labels)
@@ -324,9 +338,12 @@ def large_averages(cells: DataFrame, n_biclusters: int, restarts: int, seed: int
     """(bicluster, row_id, col_id): submatrices of large average, one after the other.
 
     Restarts run in tasks on the standardised matrix, which is sent to them and must
-    fit one machine; rows of a bicluster leave before the next one is looked for.
+    fit one machine: above DRIVER_CELLS cells it raises. Rows of a bicluster leave before
+    the next one is looked for.
     """
     spark = cells.sparkSession
+    if (n := cells.count()) > DRIVER_CELLS:
+        raise ValueError(f"{n} cells: too many to send to each task")
     p = cells.select("row_id", "col_id", "x").toPandas()
     raw = p.pivot(index="row_id", columns="col_id", values="x").sort_index().sort_index(axis=1)
     rows, cols, m = raw.index.to_numpy(), raw.columns.to_numpy(), raw.to_numpy(float)
@@ -372,4 +389,5 @@ def _search(z: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray,
         r, c = new_r, new_c
     t = -z[np.ix_(r, c)].mean() * math.sqrt(k * width)
     choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    # 0.717 and 0.416 of an approximation to the normal tail.
     return -choose(m, k) - choose(n, width) - (math.log(0.5) - 0.717 * t - 0.416 * t * t), r, c

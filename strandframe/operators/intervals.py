@@ -8,7 +8,9 @@ intervals do not overlap in joins, but do in the greedy selections.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, segment: int = SEG
     nothing on the chr. Ties go to the b that comes first by (start, stop, id). Both
     tables are sorted together and swept by windows; nothing is multiplied. For
     overlap it is enough that the running latest stop of b exceeds a's start; which b
-    comes first is then found among those, again by the sweep over starts.
+    comes first is then found by a second sweep.
     """
     cols = lambda d, i, side: d.select(F.col("chr"), F.col("start"), F.col("stop"), F.col(i).cast("long").alias("id"), F.lit(side).alias("side"))
     both = cols(a, a_id, 1).unionByName(cols(b, b_id, 0))
@@ -104,12 +106,32 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, segment: int = SEG
     pick_left = F.col("l").isNotNull() & (F.col("r").isNull() | (gap_l <= gap_r))
     dist = F.when(over, F.lit(0).cast("long")).when(pick_left, gap_l).when(F.col("r").isNotNull(), gap_r)
     found = rows.select("id", "chr", "start", "stop", over.alias("over"), dist.alias("distance"), F.when(pick_left, -F.col("l.ni")).otherwise(F.col("r.id")).alias("near"))
-    lapped = found.where("over").select(F.col("id").alias(a_id), "chr", "start", "stop")
-    pairs = overlap_pairs(lapped, b, a_id, b_id).join(b.select(F.col(b_id), F.col("start").alias("_s"), F.col("stop").alias("_e")), b_id)
-    first = pairs.groupBy(a_id).agg(F.min(F.struct("_s", "_e", b_id)).alias("f")).select(F.col(a_id).alias("id"), F.col(f"f.{b_id}").alias("first"))
+    first = _first_overlap(found.where("over").select("id", "chr", "start", "stop"), cols(b, b_id, 0), segment)
     return found.join(first, "id", "left").select(F.col("id").alias(a_id), F.coalesce("first", "near").alias(b_id), "distance")
 
 
+def _first_overlap(a: DataFrame, b: DataFrame, segment: int) -> DataFrame:
+    """(id, first): for rows of a that overlap some b, the b that comes first by (start, stop, id).
+
+    Of all b that stop beyond a place, the first is one whose stop exceeds every stop
+    before it; these records stop in the order in which they start. So a's answer is the
+    next record by stop after a's start.
+    """
+    over = Window.partitionBy("chr").orderBy("_seg")
+    cut = _segments(b, "start", segment)
+    reach = cut.groupBy("chr", "_seg").agg(F.max("stop").alias("_r")).select("chr", "_seg", F.max("_r").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"))
+    by = Window.partitionBy("chr", "_seg").orderBy("start", "stop", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest(F.max("stop").over(by), F.col("_reach"))
+    records = cut.join(reach, ["chr", "_seg"]).withColumn("_before", before).where("_before is null or stop > _before")
+    both = records.select("chr", F.col("stop").alias("at"), F.lit(1).alias("side"), "id").unionByName(a.select("chr", F.col("start").alias("at"), F.lit(0).alias("side"), "id"))
+    both = _segments(both, "at", segment)
+    record = F.when(F.col("side") == 1, F.struct("at", "id"))
+    later = both.groupBy("chr", "_seg").agg(F.min(record).alias("_n")).select("chr", "_seg", F.min("_n").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    here = Window.partitionBy("chr", "_seg").orderBy("at", F.col("side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.join(later, ["chr", "_seg"]).withColumn("_f", F.least(F.min(record).over(here), F.col("_next")))
+    return found.where("side = 0").select("id", F.col("_f.id").alias("first"))
+
+
 def islands(rows: DataFrame, order: list[str], segment: int = SEGMENT) -> DataFrame:
     """Rows with ``island``: no interval of one island touches one of another.
 
@@ -131,22 +153,55 @@ def islands(rows: DataFrame, order: list[str], segment: int = SEGMENT) -> DataFr
     return fresh.join(begun, ["chr", "_seg"]).withColumn("island", number).select(*rows.columns, "island")
 
 
+class _Greedy:
+    """A greedy rule over intervals that come in order of start; ``kept`` are the chosen ones.
+
+    Only the rows from the anchor on that start before it stops are held.
+    """
+
+    def __init__(self, rule: str) -> None:
+        self.rule = rule
+        self.group: list[tuple] = []  # (start, stop, q, mark)
+        self.until = None
+        self.kept: list = []
+
+    def _close(self) -> None:
+        """Choose of the anchor's group and leave what the rule passes over."""
+        at = 0 if self.rule == "first" else max(range(len(self.group)), key=lambda j: (self.group[j][2], -j))
+        best = self.group[at]
+        self.kept.append(best[3])
+        rest = self.group[at + 1 :] if self.rule == "pick" else []
+        self.group = []
+        if self.rule == "pick":
+            self.until = best[1]
+            for row in rest:
+                self.add(*row)
+
+    def add(self, start: int, stop: int, q: float, mark) -> None:
+        if self.until is not None:
+            if start <= self.until:
+                return
+            self.until = None
+        while self.group and start > self.group[0][1]:
+            self._close()
+            if self.until is not None and start <= self.until:
+                return
+            self.until = None
+        self.group.append((start, stop, q, mark))
+
+    def end(self) -> None:
+        while self.group:
+            self._close()
+        self.until = None
+
+
 def _walk(starts: list[int], stops: list[int], q: list[float], rule: str) -> list[int]:
     """Indices that a greedy rule keeps of intervals in order of start."""
-    kept, i, n = [], 0, len(starts)
-    while i < n:
-        end = i + 1
-        while end < n and starts[end] <= stops[i]:
-            end += 1
-        best = max(range(i, end), key=lambda j: (q[j], -j)) if rule != "first" else i
-        kept.append(best)
-        if rule == "pick":
-            i = best + 1
-            while i < n and starts[i] <= stops[best]:
-                i += 1
-        else:
-            i = end
-    return kept
+    walk = _Greedy(rule)
+    for i, row in enumerate(zip(starts, stops, q, strict=True)):
+        walk.add(*row, i)
+    walk.end()
+    return walk.kept
 
 
 def greedy(rows: DataFrame, rule: str, order: list[str]) -> DataFrame:
@@ -157,22 +212,57 @@ def greedy(rows: DataFrame, rule: str, order: list[str]) -> DataFrame:
     "pick": keep the group's best q (first on ties); go on behind it. Disjoint.
     "group": keep the group's best q; go on behind the group. May overlap.
     "first": keep the anchor; go on behind the group. Disjoint.
+
+    A task gets whole islands, sorted, and walks over all of them in one pass; it holds
+    an anchor's group, however long the island is.
     """
     if rule not in ("pick", "group", "first"):
         raise ValueError(f"rule {rule!r}")
     marked = islands(rows, order)
     alone = Window.partitionBy("chr", "island")
     marked = marked.withColumn("_size", F.count("*").over(alone))
-    schema = rows.schema
-
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "stop", *order], kind="stable")
-        keep = _walk(pdf["start"].tolist(), pdf["stop"].tolist(), pdf["q"].tolist(), rule)
-        return pdf.iloc[keep][schema.names]
+    names = rows.columns
+    place = {c: i for i, c in enumerate([*names, "island"])}
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, now, held = _Greedy(rule), None, {}
+        for n, b in enumerate(batches):
+            held[n] = b
+            cols = (b.column(place[c]).to_pylist() for c in ("chr", "island", "start", "stop", "q"))
+            for i, (c, island, start, stop, q) in enumerate(zip(*cols, strict=True)):
+                if (c, island) != now:
+                    walk.end()
+                    now = (c, island)
+                walk.add(start, stop, float("-inf") if q is None else q, (n, i))
+            yield from chosen(walk, held, n)
+        walk.end()
+        yield from chosen(walk, held, None)
+
+    def chosen(walk: _Greedy, held: dict[int, pa.RecordBatch], last: int | None) -> Iterator[pa.RecordBatch]:
+        """What is kept so far; batches that no open group has rows of are let go."""
+        by: dict[int, list[int]] = {}
+        for n, i in walk.kept:
+            by.setdefault(n, []).append(i)
+        walk.kept = []
+        for n, at in by.items():
+            yield held[n].select(names).take(pa.array(at))
+        first = min([x[3][0] for x in walk.group], default=last)
+        for n in [n for n in held if first is not None and n < first]:
+            del held[n]
 
     # Rows that nothing touches need no Python.
-    single = marked.where("_size = 1").select(*schema.names)
-    return single.unionByName(marked.where("_size > 1").groupBy("chr", "island").applyInPandas(select, schema))
+    single = marked.where("_size = 1").select(*names)
+    several = marked.where("_size > 1").select(*names, "island").repartition("chr", "island").sortWithinPartitions("chr", "island", "start", "stop", *order)
+    return single.unionByName(several.mapInArrow(select, rows.schema))
+
+
+def mark_duplicates(reads: DataFrame, key: list[str], quality: str, read_id: str) -> DataFrame:
+    """``reads`` with ``duplicate``: whether a read of the same key is better (ties: of lesser id).
+
+    The best of each key is a partial maximum, so a key of very many reads is never sorted.
+    """
+    best = reads.groupBy(*key).agg(F.max_by(read_id, F.struct(F.coalesce(quality, F.lit(float("-inf"))), -F.col(read_id))).alias("_best"))
+    return reads.join(best, key).withColumn("duplicate", F.col(read_id) != F.col("_best")).drop("_best")
 
 
 def presence(windows: DataFrame, peaks: DataFrame, window_id: str, samples: list, width: int = 500) -> DataFrame:

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many rows of a block meet the others in one part.
+SALT_ROWS = 1024
+
+
+def hashed(*parts) -> Column:
+    """A number below 2**60 that md5 of the parts, joined by underscores, gives: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("_", *(F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p for p in parts))), 1, 15), 16, 10).cast("long")
+
+
 def log_factorials(spark, top: int) -> DataFrame:
     """(i, lf): ln i! for i = 0..top; a few numbers for any matrix width."""
     lf, rows = 0.0, [(0, 0.0)]
@@ -39,12 +48,16 @@ def pair_distances(packed: DataFrame, low: int, high: int) -> DataFrame:
     one more on the right, n1 from low on and n2 to high.
 
     The equi key is the number of ones and a salt of the right row, over which the left
-    rows are replicated: a block with many rows is worked on in SALTS parts.
+    rows are replicated: a block is worked on in parts of about SALT_ROWS right rows.
     """
-    salts = 8
-    right = packed.where(F.col("ones").between(low, high)).select(F.col("row_id").alias("r2"), F.col("ones").alias("n2"), F.col("bits").alias("b2"), F.pmod(F.xxhash64("row_id"), F.lit(salts)).alias("_salt"))
+    rows = packed.where(F.col("ones").between(low, high))
+    # One row for each number of ones.
+    salts = F.broadcast(rows.groupBy(F.col("ones").alias("n2")).agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("_salts")))
+    right = rows.select(F.col("row_id").alias("r2"), F.col("ones").alias("n2"), F.col("bits").alias("b2")).join(salts, "n2")
+    right = right.withColumn("_salt", F.pmod(F.xxhash64("r2"), F.col("_salts"))).drop("_salts")
     left = packed.where(F.col("ones") >= low).select(F.col("row_id").alias("r1"), F.col("ones").alias("n1"), F.col("bits").alias("b1"))
-    left = left.withColumn("n2", F.explode(F.array(F.col("n1"), F.col("n1") + 1))).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    left = left.withColumn("n2", F.explode(F.array(F.col("n1"), F.col("n1") + 1))).join(salts, "n2")
+    left = left.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
     from strandframe.functions.scalar import hamming
 
     return left.join(right, ["n2", "_salt"]).where("r1 <> r2").select("r1", "r2", "n1", "n2", hamming("b1", "b2").alias("d"))
@@ -171,10 +184,10 @@ def permutation_max(hits: DataFrame, x: DataFrame, nperm: int, seed: int) -> Dat
     buckets = 64
     size = x.agg(F.count_if(F.col("grp") == 1).alias("n1"))
     p = x.select("row_id", "w", F.explode(F.sequence(F.lit(1), F.lit(nperm))).alias("perm"))
-    p = p.withColumn("h", F.xxhash64("row_id", "perm", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 58))
+    p = p.withColumn("h", hashed("row_id", "perm", seed)).withColumn("b", F.shiftrightunsigned("h", 54))
     held = p.groupBy("perm", "b").agg(F.count("*").alias("n"))
     held = held.select("perm", "b", F.coalesce(F.sum("n").over(Window.partitionBy("perm").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    assert buckets == 1 << (64 - 58)
+    assert buckets == 1 << (60 - 54)
     rank = F.row_number().over(Window.partitionBy("perm", "b").orderBy("h", "row_id")) + F.col("before")
     dealt = p.join(held, ["perm", "b"]).withColumn("rank", rank).crossJoin(F.broadcast(size)).select("row_id", "w", "perm", (F.col("rank") <= F.col("n1")).cast("int").alias("grp"))
     total = dealt.groupBy("perm").agg(F.sum(F.when(F.col("grp") == 1, F.col("w"))).alias("rn"), F.sum(F.when(F.col("grp") == 0, F.col("w"))).alias("cn"))
@@ -276,3 +289,35 @@ def separation(values: DataFrame) -> DataFrame:
     """(gene, sep): lower quartile of the response minus upper quartile of the control."""
     q = lambda g, p: F.percentile(F.when(F.col("grp") == g, F.col("v")), F.lit(p))
     return values.groupBy("gene").agg((q(1, 0.25) - q(0, 0.75)).alias("sep"))
+
+
+def deviations(counts: DataFrame, hits: DataFrame, gc: DataFrame, offsets: list[int], seed: int, gc_bins: int = 10) -> DataFrame:
+    """(tf, sample, deviation, z): how far a motif's peaks are from what their totals lead to
+    expect in a sample, against background peaks of like GC share and accessibility.
+
+    counts (peak, sample, n) sparse; hits (peak, tf); gc (peak, gc in 0..1). The raw deviation
+    of a motif in a sample is (seen - expected) / expected, expected being the sample's
+    share of all counts times the counts of the motif's peaks. Peaks are binned by GC share
+    and by the log2 of their counts; for each of ``offsets`` every peak is replaced by the
+    one so many places further in its bin, in an order of hashes. ``deviation`` is the raw
+    one less the backgrounds' mean, ``z`` that over their standard deviation.
+    """
+    total = counts.groupBy("peak").agg(F.sum("n").alias("s"))
+    every = counts.agg(F.sum("n").alias("all"))
+    share = counts.groupBy("sample").agg(F.sum("n").alias("c")).crossJoin(F.broadcast(every)).select("sample", (F.col("c") / F.col("all")).alias("share"))
+    level = F.least(F.floor(F.col("gc") * gc_bins), F.lit(gc_bins - 1)) * 100 + F.floor(F.log2(1 + F.col("s")))
+    binned = ranks(total.join(gc, "peak").select("peak", level.cast("long").alias("bin"), hashed("peak", seed).alias("h")), ["bin"], "h", ["peak"])
+    sized = binned.join(binned.groupBy("bin").agg(F.count("*").alias("size")), "bin").select("peak", "bin", "size", (F.col("rank") - 1).alias("place"))
+    shifts = F.array(*(F.struct(F.lit(i).alias("run"), F.lit(o).alias("off")) for i, o in enumerate([0, *offsets])))
+    # Run 0 has the peaks themselves.
+    asked = hits.distinct().join(sized, "peak").select("tf", "bin", "size", "place", F.explode(shifts).alias("_s"))
+    asked = asked.select("tf", "bin", F.col("_s.run").alias("run"), ((F.col("place") + F.col("_s.off")) % F.col("size")).alias("place"))
+    found = asked.join(sized.select("bin", "place", "peak"), ["bin", "place"]).groupBy("run", "tf", "peak").agg(F.count("*").alias("times"))
+    seen = found.join(counts, "peak").groupBy("run", "tf", "sample").agg(F.sum(F.col("times") * F.col("n")).alias("y"))
+    held = found.join(total, "peak").groupBy("run", "tf").agg(F.sum(F.col("times") * F.col("s")).alias("held"))
+    grid = held.crossJoin(F.broadcast(share)).join(seen, ["run", "tf", "sample"], "left")  # samples are columns of the matrix
+    expected = F.col("share") * F.col("held")
+    raw = grid.select("run", "tf", "sample", ((F.coalesce("y", F.lit(0)) - expected) / expected).alias("d"))
+    own, back = F.max(F.when(F.col("run") == 0, F.col("d"))), F.when(F.col("run") > 0, F.col("d"))
+    both = raw.groupBy("tf", "sample").agg(own.alias("own"), F.avg(back).alias("mean"), F.stddev_samp(back).alias("sd"))
+    return both.select("tf", "sample", (F.col("own") - F.col("mean")).alias("deviation"), F.when(F.col("sd") > 0, (F.col("own") - F.col("mean")) / F.col("sd")).alias("z"))

@@ -58,7 +58,7 @@ def f7(spark, sf):
     return S.dna(spark, sf).where("length(seq) >= 40").select("row_id", sq.centre(F.col("seq"), 10).alias("mid"))
 
 
-@query("F8_shuffle")
+@query("F8_shuffle", sql("dna", "WITH l AS (SELECT row_id, i, substr(seq, i, 1) AS c FROM (SELECT row_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM dna)), s AS (SELECT row_id, string_agg(c, '' ORDER BY md5(row_id || '_' || i || '_5'), i) AS mixed FROM l GROUP BY row_id) SELECT row_id, coalesce(mixed, seq) AS seq FROM dna LEFT JOIN s USING (row_id)"))
 def f8(spark, sf):
     return S.dna(spark, sf).select("row_id", sq.shuffled(F.col("row_id"), F.col("seq"), 5).alias("seq"))
 

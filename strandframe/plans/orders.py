@@ -161,11 +161,11 @@ def w7(spark, sf):
     return st.quantile_normalise(full).withColumn("q", F.round("q", 6))
 
 
-@query("W8_pseudo_replicates")
+@query("W8_pseudo_replicates", sql("peaks", "SELECT ord, chr, CASE WHEN r <= round_even(n / 2, 0) THEN 1 ELSE 2 END AS replicate FROM (SELECT ord, chr, row_number() OVER (PARTITION BY chr ORDER BY substr(md5(ord || '_17'), 1, 15), ord) AS r, count(*) OVER (PARTITION BY chr) AS n FROM peaks)"))
 def w8(spark, sf):
     """Each chr's reads in an order of hashes, split in two halves."""
     p = S.peaks(spark, sf)
-    dealt = st.ranks(p.select("ord", "chr", F.xxhash64("ord", F.lit(17)).alias("h")), ["chr"], "h", ["ord"])
+    dealt = st.ranks(p.select("ord", "chr", st.hashed("ord", 17).alias("h")), ["chr"], "h", ["ord"])
     half = p.groupBy("chr").agg(F.bround(F.count("*") / 2).alias("half"))
     return dealt.join(half, "chr").select("ord", "chr", F.when(F.col("rank") <= F.col("half"), 1).otherwise(2).alias("replicate"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandframe.operators import intervals as iv
 from strandframe.operators.graph import descendants, induced
 from strandframe.plans import standins as S
 from strandframe.plans.registry import query
@@ -97,7 +98,11 @@ def s9(spark, sf):
         out = fs.create(fs_path(f"{path}/region_{k}.txt"))
         out.write(bytearray(b"x"))
         out.close()
-    return readers.list_files(spark, path, "*.txt").select("name")
+    names = [r.name for r in readers.list_files(spark, path, "*.txt").select("name").collect()]  # five files
+    copy = shared_dir(spark, "objects-copy")
+    for _ in range(2):  # the second time nothing is left to copy
+        readers.copy_files(spark, names, path, copy)
+    return readers.list_files(spark, copy, "*.txt").where("length = 1").select("name")
 
 
 @query("S10_folder_union", sql("peaks", "SELECT chr, start, stop, q, CAST(sample AS VARCHAR) AS sample FROM peaks"))
@@ -149,6 +154,21 @@ def s14(spark, sf):
     return motifs.meme_to_homer(motifs.read_meme(spark, path), 20, 6.5).select("name", "consensus", "nsites", "score", F.size("m").alias("width"))
 
 
+_SAM = "SELECT 'r' || ord AS name, chr, start, CASE ord % 3 WHEN 0 THEN 50 WHEN 1 THEN 50 ELSE 40 END AS len FROM peaks WHERE ord % 10 <> 0 AND ord % 60 >= 30"
+
+
+@query("S16_sam_pairs", sql("peaks", f"WITH s AS ({_SAM}) SELECT name, chr, start + 4 AS start, start + len AS stop, '+' AS strand FROM s UNION ALL SELECT name, chr, start + 450, start + 495, '-' FROM s"))
+def s16(spark, sf):
+    """Read pairs written as SAM, with duplicates, poor ones and other alignments' lengths, to shifted reads."""
+    path = shared_dir(spark, "sam")
+    p = S.peaks(spark, sf).select("ord", "chr", "start")
+    cigar = F.element_at(F.array(F.lit("50M"), F.lit("20M5D25M"), F.lit("10S40M2I")), (F.col("ord") % 3 + 1).cast("int"))
+    line = lambda flag, shift, c: F.concat_ws("\t", F.concat(F.lit("r"), "ord"), F.lit(flag) + F.when(F.col("ord") % 10 == 0, 1024).otherwise(0), "chr", F.col("start") + 1 + shift, F.col("ord") % 60, c, F.lit("="), F.lit(0), F.lit(0), F.lit("*"), F.lit("*"), F.lit("NM:i:0")).alias("value")
+    head = spark.createDataFrame([("@HD\tVN:1.6",), ("@SQ\tSN:click\tLN:9",)], "value string")
+    head.unionByName(p.select(line(99, 0, cigar))).unionByName(p.select(line(147, 450, F.lit("50M")))).write.text(path)
+    return iv.tagalign(readers.read_pairs(readers.read_sam(spark, path)), keep=["name"])
+
+
 @query("S17_plot_tables", sql("bits", "SELECT cluster, col_id, round(avg(x), 6) AS freq FROM bits GROUP BY cluster, col_id"))
 def s17(spark, sf):
     return S.bits(spark, sf).groupBy("cluster", "col_id").agg(F.round(F.avg("x"), 6).alias("freq"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.scalar import minus_log10
 from strandframe.operators import cluster as cl
 from strandframe.operators import graph as gr
+from strandframe.operators import intervals as iv
 from strandframe.operators import matrix as mx
 from strandframe.operators import stats as st
 from strandframe.plans import standins as S
@@ -161,15 +164,11 @@ def nation_table(spark, sf) -> cl.Table:
 @query("M11_k_sweep")
 def m11(spark, sf):
     """(method, k, residual) of tree, hierarchical and k-means clusters for K = 2..12."""
-    import numpy as np
-
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
     ks = KS
     starts = cl.random_starts(spark, tree, table, ks, STARTS).unionByName(cl.smart_starts(spark, tree, table, ks, STARTS))
     rows = [("tree", r.k, float(r.residual)) for r in cl.best_fits(cl.fits(starts, tree, table)).collect()]
-    g = cl.gram_table(S.cells(spark, sf)).toPandas()
-    gram = np.zeros((S.N_COLS, S.N_COLS))
-    gram[g["c1"], g["c2"]] = g["n"]
+    gram = cl.gram_matrix(S.cells(spark, sf), S.N_COLS)
     for k in ks:
         h = cl.complete_linkage(gram, k)
         rows.append(("hierarchical", k, table.sse(h)))
@@ -225,10 +224,20 @@ def m16(spark, sf):
     return e.select("tf", *(F.round(c, 6).alias(c) for c in ("r_frac", "c_frac", "z")))
 
 
-@query("M17_permutation_null")
+_NULL = (
+    ", p AS (SELECT row_id, w, perm, row_number() OVER (PARTITION BY perm ORDER BY substr(md5(row_id || '_' || perm || '_3'), 1, 15), row_id) AS rk FROM x, (SELECT unnest(range(1, 51)) AS perm))"
+    ", dealt AS (SELECT row_id, w, perm, rk <= (SELECT count(*) FILTER (WHERE grp = 1) FROM x) AS resp FROM p)"
+    ", t AS (SELECT perm, CAST(sum(w) FILTER (WHERE resp) AS DOUBLE) AS pn, CAST(sum(w) FILTER (WHERE NOT resp) AS DOUBLE) AS qn FROM dealt GROUP BY perm)"
+    ", q AS (SELECT perm, tf, CAST(sum(CASE WHEN resp THEN w ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN resp THEN 0 ELSE w END) AS DOUBLE) AS c FROM h JOIN dealt USING (row_id) GROUP BY perm, tf)"
+    ", m AS (SELECT tf, max((r / pn - c / qn) / t_frac) AS null_max FROM q JOIN t USING (perm) JOIN z USING (tf) GROUP BY tf)"
+)
+
+
+@query("M17_permutation_null", _Z + _NULL + " SELECT tf, round((r_frac - c_frac) / t_frac, 6) AS z, round(null_max, 6) AS null_max, (r_frac - c_frac) / t_frac > null_max AS sig FROM z JOIN m USING (tf)")
 def m17(spark, sf):
     hits, x = _hits(spark, sf)
-    return st.enrichment(hits, x).select("tf", "z").join(st.permutation_max(hits, x, 50, 3), "tf").withColumn("sig", F.col("z") > F.col("null_max"))
+    both = st.enrichment(hits, x).select("tf", "z").join(st.permutation_max(hits, x, 50, 3), "tf").withColumn("sig", F.col("z") > F.col("null_max"))
+    return both.select("tf", F.round("z", 6).alias("z"), F.round("null_max", 6).alias("null_max"), "sig")
 
 
 _Z_LANG = f"WITH {_HITS.replace('lower(text) AS t', 'lower(text) AS t, lang')}, n AS (SELECT lang, sum(CASE WHEN grp = 1 THEN w ELSE 0 END)::DOUBLE AS rn, sum(CASE WHEN grp = 0 THEN w ELSE 0 END)::DOUBLE AS cn FROM x GROUP BY lang), y AS (SELECT lang, tf, sum(CASE WHEN grp = 1 THEN w ELSE 0 END)::DOUBLE AS r, sum(CASE WHEN grp = 0 THEN w ELSE 0 END)::DOUBLE AS c FROM h JOIN x USING (row_id) GROUP BY ALL)"
@@ -281,6 +290,43 @@ def m23(spark, sf):
     return cl.large_averages(S.bits(spark, sf), 2, RESTARTS)
 
 
+#: How far the background of each of 50 runs is moved within its bin.
+SHIFTS = [1 + int(md5(f"shift_{i}".encode()).hexdigest()[:6], 16) for i in range(50)]
+
+_DEVIATIONS = f"""
+WITH total AS (SELECT row_id, CAST(sum(n) AS BIGINT) AS s FROM counts GROUP BY row_id),
+share AS (SELECT col_id, sum(n) / CAST((SELECT sum(n) FROM counts) AS DOUBLE) AS share FROM counts GROUP BY col_id),
+binned AS (SELECT row_id, s, CAST(least(floor(p_size / 51.0 * 10), 9) * 100 + floor(log2(1 + s)) AS BIGINT) AS bin FROM total JOIN part ON p_partkey = row_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY substr(md5(row_id || '_9'), 1, 15), row_id) - 1 AS place, count(*) OVER (PARTITION BY bin) AS size FROM binned),
+hit AS (SELECT DISTINCT p_partkey AS row_id, unnest(string_split(p_type, ' ')) AS tf FROM part),
+runs AS (SELECT * FROM (VALUES {", ".join(f"({i}, {o})" for i, o in enumerate([0, *SHIFTS]))}) v(run, off)),
+found AS (SELECT run, tf, b.row_id, b.s FROM hit JOIN placed a USING (row_id) CROSS JOIN runs JOIN placed b ON b.bin = a.bin AND b.place = (a.place + off) % a.size),
+seen AS (SELECT run, tf, col_id, sum(n) AS y FROM found JOIN counts USING (row_id) GROUP BY ALL),
+held AS (SELECT run, tf, sum(s) AS held FROM found GROUP BY ALL),
+raw AS (SELECT held.run, held.tf, share.col_id, (coalesce(y, 0) - share * held) / (share * held) AS d FROM held CROSS JOIN share LEFT JOIN seen ON seen.run = held.run AND seen.tf = held.tf AND seen.col_id = share.col_id),
+b AS (SELECT tf, col_id, max(d) FILTER (WHERE run = 0) AS own, avg(d) FILTER (WHERE run > 0) AS mean, stddev_samp(d) FILTER (WHERE run > 0) AS sd FROM raw GROUP BY ALL)
+SELECT tf, col_id AS sample, round(own - mean, 6) AS deviation, round((own - mean) / sd, 6) AS z FROM b
+"""
+
+
+@query("M24_deviations", sql("counts", _DEVIATIONS))
+def m24(spark, sf):
+    """Words of a part's type stand for motifs, its size for the GC share, nations for samples."""
+    p = read_table(spark, sf, "part")
+    hits = p.select(F.col("p_partkey").alias("peak"), F.explode(F.split("p_type", " ")).alias("tf"))
+    gc = p.select(F.col("p_partkey").alias("peak"), (F.col("p_size") / 51.0).alias("gc"))
+    counts = S.counts(spark, sf).select(F.col("row_id").alias("peak"), F.col("col_id").alias("sample"), "n")
+    d = st.deviations(counts, hits, gc, SHIFTS, 9)
+    return d.select("tf", "sample", F.round("deviation", 6).alias("deviation"), F.round("z", 6).alias("z"))
+
+
+@query("M26_duplicates", sql("peaks", "SELECT ord, row_number() OVER (PARTITION BY chr, start // 5000, sample ORDER BY q DESC, ord) > 1 AS duplicate FROM peaks"))
+def m26(spark, sf):
+    """Reads of one chr, place and strand (here: stretches of 5000 and samples) are one molecule."""
+    at = S.peaks(spark, sf).select("ord", "chr", F.floor(F.col("start") / 5000).alias("place"), "sample", "q")
+    return iv.mark_duplicates(at, ["chr", "place", "sample"], "q", "ord").select("ord", "duplicate")
+
+
 @query("M25_summary_counts", "SELECT 'lang' AS kind, lang AS name, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents JOIN labels USING (doc_id) WHERE n_chars <= 1000 AND toxic = 0 GROUP BY source UNION ALL SELECT 'share', 'all', CAST(round(100.0 * count(CASE WHEN n_chars <= 1000 THEN 1 END) / count(*)) AS BIGINT) FROM documents JOIN labels USING (doc_id)")
 def m25(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(read_table(spark, sf, "labels"), "doc_id")

@@ -119,10 +119,7 @@ def c8(spark, sf):
 
 
 def _linked(spark, sf, k: int) -> np.ndarray:
-    g = cl.gram_table(S.cells(spark, sf)).toPandas()
-    gram = np.zeros((S.N_COLS, S.N_COLS))
-    gram[g["c1"], g["c2"]] = g["n"]
-    return cl.complete_linkage(gram, k)
+    return cl.complete_linkage(cl.gram_matrix(S.cells(spark, sf), S.N_COLS), k)
 
 
 @query("C8b_hierarchical")

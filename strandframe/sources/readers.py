@@ -34,6 +34,25 @@ def read_narrow_peak(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, schemas.NARROW_PEAK)
 
 
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """The alignments of SAM text (header lines and optional fields left out), by schemas.SAM,
+    with ``stop``: where the alignment ends, 0-based and exclusive like BED."""
+    part = F.split("value", "\t")
+    lines = spark.read.text(path).where("value <> '' and not startswith(value, '@')")
+    df = lines.select(*(F.get(part, F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schemas.SAM)))
+    # M, D, N, = and X take up places of the reference.
+    taken = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    return df.withColumn("stop", F.col("pos") - 1 + taken)
+
+
+def read_pairs(sam: DataFrame, require: int = 2, exclude: int = 1804, quality: int = 30) -> DataFrame:
+    """BEDPE rows (name, chr1, start1, stop1, strand1, chr2, ...) of the pairs whose two reads pass."""
+    good = sam.where(F.col("flag").bitwiseAND(require) == require).where(F.col("flag").bitwiseAND(exclude) == 0).where(F.col("mapq") >= quality)
+    end = F.struct(F.col("rname").alias("chr"), (F.col("pos") - 1).alias("start"), "stop", F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+").alias("strand"))
+    both = good.groupBy(F.col("qname").alias("name")).agg(*(F.min(F.when(F.col("flag").bitwiseAND(bit) > 0, end)).alias(f"r{n}") for n, bit in ((1, 64), (2, 128))))
+    return both.where("r1 is not null and r2 is not null").select("name", *(F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in ("chr", "start", "stop", "strand")))
+
+
 def read_matrix(spark: SparkSession, path: str, names: dict[str, str] | None = None, sep: str = " ") -> DataFrame:
     """A 0/1 matrix whose header names samples as ``<sample>.bed``; names may be mapped.
 
@@ -69,6 +88,18 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def copy_files(spark: SparkSession, names: list[str], source: str, target: str) -> None:
+    """Copy named files between folders of any stores that Spark reads; what is there already stays."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    to = path(target).getFileSystem(conf)
+    to.mkdirs(path(target))
+    for name in names:
+        a, b = path(f"{source}/{name}"), path(f"{target}/{name}")
+        if not to.exists(b):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, to, b, False, conf)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq) of FASTA files: one record for each '>' line."""
     df = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")

@@ -26,3 +26,5 @@ TSS = struct(gene_id=S, transcript_id=S, refseq_id=S, chr=S, TSS=L, strand=I, tr
 CLUSTERS = struct(row_id=L, cluster=I)
 TF_LIST = struct(TF=S, Significant=B)
 CHROM_SIZES = struct(chr=S, length=L)
+#: The mandatory fields of an alignment.
+SAM = struct(qname=S, flag=I, rname=S, pos=L, mapq=I, cigar=S, rnext=S, pnext=L, tlen=L, seq=S, qual=S)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandframe.operators.control import exists, pending
@@ -22,7 +23,9 @@ def process_new(spark: SparkSession, source: str, schema: T.StructType, key: str
 
     def batch(rows: DataFrame, number: int) -> None:
         nonlocal ran
-        todo = rows.dropDuplicates([key])
+        others = [c for c in rows.columns if c != key]
+        # Of rows with one key the least stays, whatever the order of arrival.
+        todo = rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, *(F.col(f"_r.`{c}`").alias(c) for c in others)).select(*rows.columns) if others else rows.distinct()
         if exists(spark, f"{sink}/_SUCCESS"):
             done = spark.read.parquet(sink).select(key).distinct()
             todo = pending(todo, done, key)
