@@ -202,6 +202,29 @@ def brute_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+#: The first sentences of a declaration in languages that the documents do not have.
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem. ",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. ",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. ",
+]
+
+
+def test_language_stage_rejects_what_it_did_not_learn_and_keeps_short_texts(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = spark.createDataFrame([(10**7 + i, t * 20, None, "x", len(t) * 20) for i, t in enumerate(FOREIGN)], big.schema)
+    junk = spark.createDataFrame([(10**7 + 50 + i, t, None, "x", len(t)) for i, t in enumerate(["", "12 34 !!", "½ ² ³", None and ""])], big.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, big.unionByName(foreign).unionByName(junk), SF).select("doc_id").collect()}
+    own = {r.doc_id: len(r.text) for r in big.where("text is not null and lang is not null").select("doc_id", "text").collect()}
+    assert sum(10**7 + i in kept for i in range(len(FOREIGN))) <= 1
+    assert not any(10**7 + 50 + i in kept for i in range(4))
+    assert sum(i not in kept for i in own) <= 0.005 * len(own)
+    short = [i for i, n in own.items() if 0 < n < 150]
+    assert len(short) > 10 and sum(i in kept for i in short) >= 0.95 * len(short)
+
+
 def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
