@@ -215,7 +215,7 @@ FOREIGN = [
 def test_language_stage_rejects_what_it_did_not_learn_and_keeps_short_texts(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     foreign = spark.createDataFrame([(10**7 + i, t * 20, None, "x", len(t) * 20) for i, t in enumerate(FOREIGN)], big.schema)
-    junk = spark.createDataFrame([(10**7 + 50 + i, t, None, "x", len(t)) for i, t in enumerate(["", "12 34 !!", "½ ² ³", None and ""])], big.schema)
+    junk = spark.createDataFrame([(10**7 + 50 + i, t, None, "x", len(t or "")) for i, t in enumerate(["", "12 34 !!", "½ ² ³", None])], big.schema)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, big.unionByName(foreign).unionByName(junk), SF).select("doc_id").collect()}
     own = {r.doc_id: len(r.text) for r in big.where("text is not null and lang is not null").select("doc_id", "text").collect()}
     assert sum(10**7 + i in kept for i in range(len(FOREIGN))) <= 1
