@@ -44,7 +44,9 @@ from pyspark.sql import functions as F
 
 from strandframe.runtime import ship
 
-CHUNK, LEAD, SLICE_BYTES, MAX_STATES = 256, 64, 2 << 20, 1 << 16
+CHUNK, LEAD, SLICE_BYTES, MAX_STATES = 256, 64, 2 << 20, 1 << 17
+#: States that the table grows by.
+GROWTH = 1 << 14
 LETTER, NUMBER, SPACE, WHITE, OTHER, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: The contractions that the splitter takes as pieces of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -107,7 +109,7 @@ class MergeTransducer:
             s = self.ids[key] = len(self.keys)
             self.keys.append(key)
             if len(self.keys) * 256 > len(self.table):
-                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+                self.table = np.concatenate([self.table, np.full(GROWTH * 256, -1, np.int32)])
         return s
 
     def _restart(self, live: list[np.ndarray]) -> None:
