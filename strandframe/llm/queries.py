@@ -15,8 +15,10 @@ from strandframe.llm.language_id import identify, train
 from strandframe.llm.packing import pack_sequences
 from strandframe.llm.quality import fit, scored, with_features
 from strandframe.llm.sharding import ShardStore
+from strandframe.llm.spelling import counted_words, spelling_variants
 from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.url_filter import filter_urls
+from strandframe.llm.whitening import whiten
 from strandframe.runtime import read_table, shared_dir, written
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -108,6 +110,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_check(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(counted_words(read_table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -120,6 +130,8 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_fingerprints": op10_fingerprints,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_embedding_whitening": op12_embedding_whitening,
     }
 
 
@@ -224,5 +236,50 @@ FROM e GROUP BY conv_id
 """
 
 
+# crc32 byte by byte, over a table of 256 remainders that the query makes itself.
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))
+), runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) WHERE length(run) >= 6 GROUP BY doc_id, run
+), hexed AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, c, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS BIGINT))),
+      lambda h, b: xor(h // 256, t[CAST(xor(h % 256, b) + 1 AS BIGINT)])), 4294967295) AS h
+  FROM hexed, crc
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS near, y.n AS m FROM cut x JOIN cut y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON x.d = y.word
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN words y ON x.d = y.word
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.m >= 5 * w.n THEN r.near END AS form, CASE WHEN r.m >= 5 * w.n THEN r.m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1
+), chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL
+), roots AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_decontamination": _OP2, "op4_ngram_jaccard_join": _OP4, "op5_sharding": _op5(), "op7_chat_format": _OP7}
+    return {
+        "op1_url_filter": _OP1,
+        "op2_decontamination": _OP2,
+        "op4_ngram_jaccard_join": _OP4,
+        "op5_sharding": _op5(),
+        "op7_chat_format": _OP7,
+        "op11_spelling_variants": _OP11,
+    }
