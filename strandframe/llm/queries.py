@@ -10,6 +10,7 @@ import public_tokenizers
 from strandframe.llm.chat_format import format_chats, parse_chats
 from strandframe.llm.decontamination import contamination
 from strandframe.llm.fingerprints import edit_check
+from strandframe.llm.hyperminhash import near_duplicates_of
 from strandframe.llm.jaccard_join import jaccard_components
 from strandframe.llm.language_id import identify, train
 from strandframe.llm.packing import pack_sequences
@@ -118,6 +119,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_of(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -132,6 +137,7 @@ def queries() -> dict:
         "op10_fingerprints": op10_fingerprints,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_hyperminhash_near_dedup": op13_hyperminhash_near_dedup,
     }
 
 
@@ -274,6 +280,26 @@ SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots
 """
 
 
+_OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), z AS (SELECT doc_id, g, n FROM s JOIN c USING (doc_id)
+), l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM z x JOIN z y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (min(x.n) + min(y.n) - count(*))
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a), k AS (
+  SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": _OP1,
@@ -282,4 +308,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": _op5(),
         "op7_chat_format": _OP7,
         "op11_spelling_variants": _OP11,
+        "op13_hyperminhash_near_dedup": _OP13,
     }
