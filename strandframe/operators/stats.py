@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.runtime import written
 
 #: So many rows of a block meet the others in one part.
 SALT_ROWS = 1024
@@ -274,6 +275,27 @@ def ranks(values: DataFrame, group: list[str], value: str, ties: list[str], name
     return held.join(sizes, [*group, "_b"]).withColumn(name, own + F.col("_before")).select(*values.columns, name)
 
 
+def standing(values: DataFrame, value: str, buckets: int = 128) -> DataFrame:
+    """(value, n, bucket, upto, sum_upto) of each distinct value: its number of rows, how many rows
+    have it or a lesser one, and the sum of the values of these. Nulls are left out.
+
+    Values are cut into buckets at approximate quantiles; sums run within buckets and go on
+    from one row for each earlier bucket, so no task sorts all values. The counts are a
+    written table.
+    """
+    distinct = written(values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), "standing")
+    probs = F.lit([i / buckets for i in range(1, buckets)])
+    cuts = distinct.agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(20 * buckets))).alias("_cuts"))
+    held = distinct.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")  # one row
+    mass = F.col("n") * F.col(value).cast("double")
+    sizes = held.groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum(mass).alias("_s"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    sizes = sizes.select("bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s"))
+    own = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = held.withColumn("_on", F.sum("n").over(own)).withColumn("_os", F.sum(mass).over(own)).join(sizes, "bucket")
+    return run.select(value, "n", "bucket", (F.col("_on") + F.col("_n")).alias("upto"), (F.col("_os") + F.col("_s")).alias("sum_upto"))
+
+
 def quantile_normalise(values: DataFrame) -> DataFrame:
     """(row_id, col_id, q): each column's values replaced by the mean over columns of the
     values of the same rank; tied values get the mean of their ranks' means."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.plans import aggregates, flows, functions, joins, orders, projections, scans, statistics, trees  # noqa: F401
+from strandframe.plans import aggregates, expression, flows, functions, joins, orders, projections, scans, statistics, trees  # noqa: F401
 from strandframe.plans.registry import QUERIES, SQL, Query
 
 
