@@ -70,9 +70,11 @@ PWM = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1], [0.4, 0
 def _pwm_sql() -> str:
     plus = sq.log_odds(PWM)
     minus = [{"ACGT"["TGCA".index(b)]: v for b, v in row.items()} for row in reversed(plus)]
-    case = lambda j, row: f"CASE substr(seq, CAST(i + {j + 1} AS BIGINT), 1) " + " ".join(f"WHEN '{b}' THEN CAST({v!r} AS DOUBLE)" for b, v in row.items()) + " END"
+    case = lambda j, row: f"CASE c{j} " + " ".join(f"WHEN '{b}' THEN CAST({v!r} AS DOUBLE)" for b, v in row.items()) + " END"
     one, two = (" + ".join(case(j, row) for j, row in enumerate(m)) for m in (plus, minus))
-    return f"WITH s AS (SELECT row_id, seq, unnest(range(length(seq) - 5)) AS i FROM dna WHERE length(seq) >= 6), w AS (SELECT row_id, greatest({one}, {two}) AS score FROM s)"
+    # Each string is split once; the letters of a window are the next rows.
+    next_ones = ", ".join(f"lead(c, {j}) OVER w AS c{j}" for j in range(len(PWM)))
+    return f"WITH l AS (SELECT row_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS i FROM dna WHERE length(seq) >= 6), s AS (SELECT row_id, {next_ones} FROM l WINDOW w AS (PARTITION BY row_id ORDER BY i)), w AS (SELECT row_id, greatest({one}, {two}) AS score FROM s WHERE c5 IS NOT NULL)"
 
 
 @query("F9_pwm_best_score", sql("dna", _pwm_sql() + " SELECT row_id, round(max(score), 6) AS score FROM w WHERE score IS NOT NULL GROUP BY row_id"))
