@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.runtime import fresh_names
 
 #: Length of the stretches of a chromosome that windows are run over.
 SEGMENT = 1 << 22
@@ -259,10 +260,29 @@ def greedy(rows: DataFrame, rule: str, order: list[str]) -> DataFrame:
 def mark_duplicates(reads: DataFrame, key: list[str], quality: str, read_id: str) -> DataFrame:
     """``reads`` with ``duplicate``: whether a read of the same key is better (ties: of lesser id).
 
-    The best of each key is a partial maximum, so a key of very many reads is never sorted.
+    The best of each key is a partial minimum, so a key of very many reads is never sorted.
+    A null quality is worse than any; ids are of any type that can be ordered. A read with a
+    null in its key has no place to share: it stays and is a duplicate of none. Rows of the
+    best read's id are not duplicates of each other.
     """
-    best = reads.groupBy(*key).agg(F.max_by(read_id, F.struct(F.coalesce(quality, F.lit(float("-inf"))), -F.col(read_id))).alias("_best"))
-    return reads.join(best, key).withColumn("duplicate", F.col(read_id) != F.col("_best")).drop("_best")
+    (best,) = fresh_names(reads, "_best")
+    names = fresh_names(reads, *(f"_key{i}" for i in range(len(key))))
+    rank = F.struct(-F.coalesce(F.col(quality).cast("double"), F.lit(float("-inf"))), F.col(read_id).isNull(), F.col(read_id).alias("id"))
+    first = reads.groupBy(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))).agg(F.min(rank).alias(best))
+    met = reads.join(first, [F.col(k) == F.col(n) for k, n in zip(key, names, strict=True)], "left")
+    same = F.col(read_id).eqNullSafe(F.col(f"{best}.id"))
+    return met.select(*reads.columns, (F.col(best).isNotNull() & ~same).alias("duplicate"))
+
+
+def pair_ends(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (chr, five, strand of reads 1 and 2) with ``ends``: both 5' ends and strands, the lesser
+    first, so that it doesn't matter which mate was read first. Null if a part is null."""
+    one, two = (F.struct(F.col(f"chr{n}").alias("chr"), F.col(f"five{n}").alias("five"), F.col(f"strand{n}").alias("strand")) for n in (1, 2))
+    known = F.lit(True)
+    for n in (1, 2):
+        for c in ("chr", "five", "strand"):
+            known = known & F.col(f"{c}{n}").isNotNull()
+    return pairs.withColumn("ends", F.when(known, F.array_sort(F.array(one, two))))
 
 
 def presence(windows: DataFrame, peaks: DataFrame, window_id: str, samples: list, width: int = 500) -> DataFrame:

@@ -17,7 +17,8 @@ from strandframe.plans import standins as S
 from strandframe.plans.aggregates import eighths
 from strandframe.plans.registry import query
 from strandframe.plans.standins import sql
-from strandframe.runtime import read_table
+from strandframe.runtime import read_table, shared_dir
+from strandframe.sources import readers
 
 #: Effort of searches, as the reference's defaults: K, starts of either kind for each K, submatrix restarts.
 KS, STARTS, RESTARTS = list(range(2, 13)), 10, 1000
@@ -320,11 +321,29 @@ def m24(spark, sf):
     return d.select("tf", "sample", F.round("deviation", 6).alias("deviation"), F.round("z", 6).alias("z"))
 
 
-@query("M26_duplicates", sql("peaks", "SELECT ord, row_number() OVER (PARTITION BY chr, start // 5000, sample ORDER BY q DESC, ord) > 1 AS duplicate FROM peaks"))
+@query("M26_duplicates", sql("peaks", "SELECT 'r' || ord AS name, row_number() OVER (PARTITION BY chr, start // 5000, sample < 5 ORDER BY ord % 60 DESC, 'r' || ord) > 1 AS duplicate FROM peaks"))
 def m26(spark, sf):
-    """Reads of one chr, place and strand (here: stretches of 5000 and samples) are one molecule."""
-    at = S.peaks(spark, sf).select("ord", "chr", F.floor(F.col("start") / 5000).alias("place"), "sample", "q")
-    return iv.mark_duplicates(at, ["chr", "place", "sample"], "q", "ord").select("ord", "duplicate")
+    """Pairs written as SAM and read back; those of both 5' ends and strands alike are one molecule.
+
+    First reads begin at multiples of 5000, behind clips of lengths of their own; the half of
+    the samples has its mates in turn.
+    """
+    path = shared_dir(spark, "sam")
+    at = (F.floor(F.col("start") / 5000) * 5000).alias("at")
+    p = S.peaks(spark, sf).select("ord", "chr", at, (F.col("ord") % 7).alias("clip"), (F.col("sample") < 5).alias("turned"))
+
+    def line(bit, minus, pos, cigar):
+        flag = F.lit(3 + bit) + F.lit(16 if minus else 32)
+        return F.concat_ws("\t", F.concat(F.lit("r"), "ord"), flag, "chr", pos, F.col("ord") % 60, cigar, F.lit("="), F.lit(0), F.lit(0), F.lit("*"), F.lit("*")).alias("value")
+
+    head, tail = F.concat(F.col("clip") + 1, F.lit("S40M")), F.concat(F.lit("30M"), F.col("clip") + 2, F.lit("S"))
+    # The turned ones have their first mate on -, at the same places.
+    for turned, (first, second) in ((False, (64, 128)), (True, (128, 64))):
+        some = p.where(F.col("turned") == turned).withColumn("at", F.col("at") + (100 if turned else 0))
+        some.select(line(first, False, F.col("at") + F.col("clip") + 2, head)).write.mode("append").text(path)
+        some.select(line(second, True, F.col("at") + 471 - F.col("clip") - 2, tail)).write.mode("append").text(path)
+    pairs = iv.pair_ends(readers.sequenced_ends(readers.read_sam(spark, path)))
+    return iv.mark_duplicates(pairs, ["ends"], "quality", "name").select("name", "duplicate")
 
 
 @query("M25_summary_counts", "SELECT 'lang' AS kind, lang AS name, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents JOIN labels USING (doc_id) WHERE n_chars <= 1000 AND toxic = 0 GROUP BY source UNION ALL SELECT 'share', 'all', CAST(round(100.0 * count(CASE WHEN n_chars <= 1000 THEN 1 END) / count(*)) AS BIGINT) FROM documents JOIN labels USING (doc_id)")

@@ -53,6 +53,26 @@ def read_pairs(sam: DataFrame, require: int = 2, exclude: int = 1804, quality: i
     return both.where("r1 is not null and r2 is not null").select("name", *(F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in ("chr", "start", "stop", "strand")))
 
 
+def sequenced_ends(sam: DataFrame, exclude: int = 2828) -> DataFrame:
+    """(name, chr1, five1, strand1, chr2, ..., quality) of all pairs, also poor or marked ones.
+
+    ``five`` is the 5' end that the read would have if what was clipped off it had aligned
+    too: 0-based on +, exclusive on -. ``quality`` is the sum of both mapping qualities. Reads
+    with a flag of ``exclude`` (unmapped, mate unmapped, secondary, poor, supplementary) are
+    left out, and so are pairs that lack one.
+    """
+    clipped = lambda at: F.coalesce(F.try_element_at(F.regexp_extract_all("cigar", F.lit(at), F.lit(1)), F.lit(1)).cast("long"), F.lit(0))
+    clip = {"+": clipped(r"^(?:\d+H)?(\d+)S"), "-": clipped(r"(\d+)S(?:\d+H)?$")}
+    hard = {"+": clipped(r"^(\d+)H"), "-": clipped(r"(\d+)H$")}
+    minus = F.col("flag").bitwiseAND(16) > 0
+    five = F.when(minus, F.col("stop") + clip["-"] + hard["-"]).otherwise(F.col("pos") - 1 - clip["+"] - hard["+"])
+    end = F.struct(F.col("rname").alias("chr"), five.alias("five"), F.when(minus, "-").otherwise("+").alias("strand"), F.col("mapq").alias("q"))
+    good = sam.where(F.col("flag").bitwiseAND(exclude) == 0)
+    both = good.groupBy(F.col("qname").alias("name")).agg(*(F.min(F.when(F.col("flag").bitwiseAND(bit) > 0, end)).alias(f"r{n}") for n, bit in ((1, 64), (2, 128))))
+    parts = (F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in ("chr", "five", "strand"))
+    return both.where("r1 is not null and r2 is not null").select("name", *parts, (F.col("r1.q") + F.col("r2.q")).alias("quality"))
+
+
 def read_matrix(spark: SparkSession, path: str, names: dict[str, str] | None = None, sep: str = " ") -> DataFrame:
     """A 0/1 matrix whose header names samples as ``<sample>.bed``; names may be mapped.
 
