@@ -8,7 +8,7 @@ an empty table stays empty; extra columns pass through.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm.decontamination import decontaminate
@@ -18,20 +18,25 @@ from strandframe.llm.packing import pack_sequences
 from strandframe.llm.quality import fit, scored_texts, with_features
 from strandframe.runtime import fresh_names, read_table, shared_dir, written
 
-#: Documents whose language is less likely than this are rejected. Of right answers on texts
-#: of LONG characters or more 1 in 1000 lies below 0.69, texts in languages that were not
-#: learned lie at 0.34 to 0.64; shorter texts hold less than a window, and clean ones go down to 0.37.
-LEAST_LANGUAGE, LEAST_LANGUAGE_SHORT, LONG = 0.6, 0.35, 256
+#: Documents whose language is less likely than LEAST_LANGUAGE - SLACK / sqrt(bytes) are
+#: rejected: a probability worked out from few bytes is less sure. It asks for 0.38 of
+#: 25 bytes, 0.55 of 256, 0.60 of 4096. Of texts in the learned languages 1 in 200 or fewer lie
+#: lower at any length; texts in others lie at 0.48 to 0.71 from a few hundred bytes on.
+LEAST_LANGUAGE, SLACK = 0.62, 1.2
 #: Documents whose quality is less likely than this are rejected.
 LEAST_QUALITY = 0.5
 
 
+def least_language(text: str) -> Column:
+    """What the language's probability must reach, by one rule for texts of all lengths."""
+    return F.lit(LEAST_LANGUAGE) - SLACK / F.sqrt(F.greatest(F.octet_length(text), F.lit(1)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns languages from the documents that name one; rejects those without a clear one."""
     pred, score = fresh_names(docs, "_lang_pred", "_lang_score")
     found = identify(docs, train(docs), pred=pred, score_col=score)
-    least = F.when(F.length("text") >= LONG, LEAST_LANGUAGE).otherwise(LEAST_LANGUAGE_SHORT)
-    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least_language("text"))).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
