@@ -2,8 +2,8 @@
 
 A rule is ``host/path``. It fits its host and all subdomains when the url's path
 starts with the rule's path (as a string, so ``org/en/1`` fits ``/en/123``).
-Of several fitting rules the one with more host labels wins, then the one with
-the longer path; the same rule in both lists blocks. Urls that no rule fits get
+Of several fitting rules the longest (host and path together) wins, of equally long
+ones that of the longer host; the same rule in both lists blocks. Urls that no rule fits get
 the default verdict (``allow``: a filter list only takes away what it names).
 
 Null urls and urls without ``://`` have empty host and path and fit no rule.
@@ -78,8 +78,9 @@ class RuleTrie:
             node = node["next"].get(label)
             if node is None:
                 break
-            if node["path"] is not None:
-                found = self._below(node["path"], path) or found
+            # The longest of one host; deeper hosts come later and win ties.
+            if node["path"] is not None and (hit := self._below(node["path"], path)) and (found is None or len(hit[0]) >= len(found[0])):
+                found = hit
         return found
 
 
@@ -139,12 +140,11 @@ def _joined(base: DataFrame, rules: list[tuple[str, str]], default: str) -> Data
     table = table.groupBy("_rh", "_rp").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.when(F.col("verdict") == "block", 1).otherwise(0), "rule")).alias("_r"))
     urls = base.select("host", "path").distinct()
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(labels, -i, i), ".").alias("h")))
-    tried = urls.where("host <> ''").select("host", "path", F.explode(suffixes).alias("_s"))
-    tried = tried.select("host", "path", F.col("_s.n").alias("_n"), F.col("_s.h").alias("_rh"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    tried = urls.where("host <> ''").select("host", "path", F.explode(suffixes).alias("_rh"))
     lengths = F.sequence(F.lit(0), F.length("path"))
     tried = tried.join(table.select("_rh").distinct(), "_rh", "left_semi")
     tried = tried.withColumn("_rp", F.explode(F.transform(lengths, lambda k: F.substring(F.col("path"), F.lit(1), k))))
-    best = tried.join(table, ["_rh", "_rp"]).groupBy("host", "path").agg(F.max_by("_r", F.struct("_n", F.length("_rp"))).alias("_r"))
+    best = tried.join(table, ["_rh", "_rp"]).groupBy("host", "path").agg(F.max_by("_r", F.struct(F.length("_rh") + F.length("_rp"), F.length("_rh"))).alias("_r"))
     out = base.join(best, ["host", "path"], "left")
     return out.select("_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.lit(default)).alias("verdict"))

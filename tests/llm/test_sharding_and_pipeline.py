@@ -225,6 +225,13 @@ def test_language_stage_rejects_what_it_did_not_learn_and_keeps_short_texts(spar
     assert len(short) > 10 and sum(i in kept for i in short) >= 0.95 * len(short)
 
 
+def test_language_rule_has_no_step(spark):
+    rows = spark.createDataFrame([("x" * n,) for n in range(1, 3000)], "text string").select(F.length("text").alias("n"), corpus_pipeline.least_language("text").alias("v"))
+    v = [r.v for r in rows.orderBy("n").collect()]
+    assert all(0 < b - a < 0.6 / (i + 1) ** 1.5 + 1e-9 for i, (a, b) in enumerate(zip(v, v[1:], strict=False)))
+    assert v[24] < 0.4 and 0.54 < v[255] < 0.56 and v[-1] < 0.6
+
+
 def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

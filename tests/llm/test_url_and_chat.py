@@ -87,3 +87,12 @@ def test_chats_nulls_ties_long_and_empty(spark):
     assert len(got[2].loss_text) == 200_000 and got[None].turns[0].text == "n"
     assert hashlib.sha256(got[3].loss_text.encode()).hexdigest() == hashlib.sha256(("0123456789" * 200).encode()).hexdigest()
     assert format_chats(df.limit(0)).count() == 0
+
+
+def test_the_longest_rule_wins_over_more_host_labels(spark):
+    rules = [("org/aaaaaaaaaaaaaaaa/", "block"), ("example.org/", "allow"), ("a.org/bc", "block"), ("org/bcde", "allow"), ("ORG/x", "allow"), ("org/x", "block")]
+    urls = ["http://example.org/aaaaaaaaaaaaaaaa/1", "http://example.org/b", "http://a.org/bcde", "http://b.org/bcde", "http://c.org/xyz"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    want = ["org/aaaaaaaaaaaaaaaa/", "example.org/", "a.org/bc", "org/bcde", "org/x"]
+    for size in (1 << 20, 0):  # by the trie, by joins
+        assert [r.rule for r in sorted(filter_urls(pages, rules, broadcast_bytes=size).collect())] == want
