@@ -8,9 +8,9 @@ as one). Equal sets are one class, so copies are never expanded. The steps:
    them, 16 bits in all. The register of an empty bucket takes over that of the first
    bucket with a value in an order of its own, so small sets fill all registers as well,
    and two registers agree as often as the sets are alike (J, plus chance collisions).
-2. Bands of ROWS registers each are hashed. A pair of similarity 0.8 shares none of 64
-   bands of 6 with a chance of 4e-9; one of 0.1 shares one with a chance of 6e-5.
-3. Candidates. Rounds of stars: each class of a band's group is tried with one leader,
+2. Bands of ROWS registers each are hashed. A pair of similarity 0.8 shares none of 40
+   bands of 5 with a chance of 1.3e-7; one of 0.1 shares one with a chance of 4e-4.
+3. Candidates. First by stars: each class of a band's group is tried with one leader,
    n - 1 for n, never all pairs, and what is linked goes together. A last step compares
    the sketches of what is left of a group, if of different components, in blocks within
    tasks: only pairs that pass the estimate leave a task.
@@ -18,7 +18,8 @@ as one). Equal sets are one class, so copies are never expanded. The steps:
    collisions of two sets of these sizes, must not lie DEVIATIONS standard deviations
    under the least similarity. For sets of few shingles this rules nothing out.
 5. Verification on the full sets of 64-bit shingle hashes (two different shingles of
-   a pair agree by chance once in 2**64), and components by star rounds.
+   a pair agree by chance once in 2**64), and components by star rounds. The sets are
+   no table: those that a round needs are made anew from one text of each class.
 
 Null and empty texts (no words) have size 0 and are linked with nothing. Rows that
 repeat an id are one document: it is linked by any of its texts. A null id is never a
@@ -43,11 +44,11 @@ from strandframe.llm.shingles import mix, shingle_sets
 from strandframe.llm.token_counts import slices
 from strandframe.runtime import delete_folder, fixed_order, shared_dir, ship, written
 
-BANDS, ROWS, MANTISSA = 64, 6, 10
+BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 LEAST, OF = 80, 100  # links have OF * intersection >= LEAST * union
 DEVIATIONS = 6
-STAR_ROUNDS, CHUNK, BLOCK = 2, 256, 2048
+STAR_ROUNDS, CHUNK, BLOCK = 1, 256, 2048
 _FEW = 48  # sets of so few values fill their empty registers one by one
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -133,7 +134,7 @@ def _sized(n, m):
 
 
 def _sets(k: int, id_type: pa.DataType):
-    """(rid, _id, n, key, registers, tokens) of each text."""
+    """(rid, _id, h, n, key, registers) of each text; h, a hash of the text, comes with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
@@ -146,13 +147,34 @@ def _sets(k: int, id_type: pa.DataType):
                 cells = [
                     pa.array(range(rid, rid + j - i), pa.int64()),
                     b.column(0).slice(i, j - i).cast(id_type),
+                    b.column(2).slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([s.tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
                 rid += j - i
-                yield pa.RecordBatch.from_arrays(cells, ["rid", "_id", "n", "key", "registers", "tokens"])
+                yield pa.RecordBatch.from_arrays(cells, ["rid", "_id", "h", "n", "key", "registers"])
+
+    return run
+
+
+def _tokens(k: int):
+    """(cid, n, data) of rows (cid, key, text): the sets of a task's classes, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            cids, keys, raw = (c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary())))
+            for i, j in slices([len(t) for t in raw], SLICE_BYTES):
+                rows = []
+                for cid, key, s in zip(cids[i:j], keys[i:j], shingle_sets(raw[i:j], k), strict=True):
+                    # Another text may have the same hash, but no other set the same key.
+                    if cid not in seen and class_key(s) == key:
+                        seen.add(cid)
+                        rows.append((cid, len(s), s.tobytes()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cid", "n", "data"])
 
     return run
 
@@ -280,12 +302,16 @@ class NearDuplicates:
         ship(self.spark)
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self._folders: dict[str, str] = {}
+        self.k = k
         base = fixed_order(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), "hyperminhash-texts")
+        self.base = base.withColumn("h", F.xxhash64("_text"))
         kind = base.schema["_id"].dataType
-        names = [("rid", T.LongType()), ("_id", kind), ("n", T.LongType()), *((c, T.BinaryType()) for c in ("key", "registers", "tokens"))]
-        self.sets = self._kept(base.mapInArrow(_sets(k, to_arrow_type(kind)), T.StructType([T.StructField(*x) for x in names])), "sets")
-        one = self.sets.where("n > 0").groupBy("key").agg(F.min("_id").alias("least"), F.min("rid").alias("cid"))
-        self.classes = self._kept(one, "classes")
+        names = [("rid", T.LongType()), ("_id", kind), ("h", T.LongType()), ("n", T.LongType()), *((c, T.BinaryType()) for c in ("key", "registers"))]
+        self.sets = self._kept(self.base.mapInArrow(_sets(k, to_arrow_type(kind)), T.StructType([T.StructField(*x) for x in names])), "sets")
+        # The text of a class is that of its least id (null comes last).
+        first = F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "h"))
+        one = self.sets.where("n > 0").groupBy("key").agg(first.alias("f"), F.min("rid").alias("cid"))
+        self.classes = self._kept(one.select("key", F.col("f._id").alias("least"), "f.h", "cid"), "classes")
         self.reps = self._kept(self.sets.select(F.col("rid").alias("cid"), "n", "registers").join(self.classes.select("cid"), "cid"), "reps")
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
@@ -313,8 +339,10 @@ class NearDuplicates:
         if not estimated:
             pairs = self._tested(pairs, self.reps.withColumnRenamed("registers", "data"), _likely)
         pairs = self._kept(pairs, "likely")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        tokens = self.sets.select("rid", "n", F.col("tokens").alias("data")).join(named, "rid").withColumnRenamed("rid", "cid")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        named = named.join(self.classes, "cid").select("cid", "key", "least", F.col("h").alias("of"))
+        texts = self.base.join(named, (F.col("h") == F.col("of")) & F.col("_id").eqNullSafe(F.col("least"))).select("cid", "key", "_text")
+        tokens = texts.mapInArrow(_tokens(self.k), "cid long, n long, data binary").dropDuplicates(["cid"])
         return self._kept(self._tested(pairs, self._kept(tokens, "tokens"), _alike), "links")
 
     def _open(self, entries: DataFrame, seed: int) -> DataFrame:
