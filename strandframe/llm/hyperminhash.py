@@ -10,8 +10,9 @@ as one). Equal sets are one class, so copies are never expanded. The steps:
    and two registers agree as often as the sets are alike (J, plus chance collisions).
 2. Bands of ROWS registers each are hashed. A pair of similarity 0.8 shares none of 40
    bands of 5 with a chance of 1.3e-7; one of 0.1 shares one with a chance of 4e-4.
-3. Candidates. First by stars: each class of a band's group is tried with one leader,
-   n - 1 for n, never all pairs, and what is linked goes together. A last step compares
+3. Candidates. First by stars: each class of a band's group is tried with one leader (that
+   which meets most others in all bands), n - 1 for n, never all pairs, and what is
+   linked goes together. A last step compares
    the sketches of what is left of a group, if of different components, in blocks within
    tasks: only pairs that pass the estimate leave a task.
 4. Estimate. The share of equal registers, corrected by the expected share of chance
@@ -47,7 +48,7 @@ from strandframe.runtime import delete_folder, fixed_order, shared_dir, ship, wr
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 LEAST, OF = 80, 100  # links have OF * intersection >= LEAST * union
-DEVIATIONS = 6
+DEVIATIONS = 5
 STAR_ROUNDS, CHUNK, BLOCK = 1, 256, 2048
 _FEW = 48  # sets of so few values fill their empty registers one by one
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -345,12 +346,22 @@ class NearDuplicates:
         tokens = texts.mapInArrow(_tokens(self.k), "cid long, n long, data binary").dropDuplicates(["cid"])
         return self._kept(self._tested(pairs, self._kept(tokens, "tokens"), _alike), "links")
 
-    def _open(self, entries: DataFrame, seed: int) -> DataFrame:
-        """Entries of the bands whose classes are not all of one label, with a leader ``l`` and their number."""
+    def _open(self, entries: DataFrame, step: int) -> DataFrame:
+        """Entries of the bands whose classes are not all of one label, with a leader ``l`` and their number.
+
+        The first leader of a group is the class that meets most others in all its bands: of
+        copies that were changed here and there it is what they were made from, to which
+        they are all nearer than to each other. Later ones are any.
+        """
+        groups = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+        held = self._kept(entries.join(self._kept(groups.select("band", "c"), "groups"), "band"), "held")
         row = F.struct("cid", "n", "label")
-        pick = F.min(row) if seed == 0 else F.min_by(row, F.xxhash64("cid", F.lit(seed)))
-        groups = entries.groupBy("band").agg(pick.alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-        return entries.join(self._kept(groups.select("band", "l", "c"), "leaders"), "band")
+        if step == 0:
+            weight = held.groupBy("cid").agg(F.sum("c").alias("w"))
+            leaders = held.join(weight, "cid").groupBy("band").agg(F.max_by(row, F.struct("w", -F.col("cid"))).alias("l"))
+        else:
+            leaders = held.groupBy("band").agg(F.min_by(row, F.xxhash64("cid", F.lit(step))).alias("l"))
+        return held.join(self._kept(leaders, "leaders"), "band")
 
     @staticmethod
     def _stars(entries: DataFrame) -> DataFrame:
@@ -386,7 +397,7 @@ class NearDuplicates:
             entries = entries.drop("l", "c")
             if labels is not None:
                 entries = entries.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        for name in ("open", "leaders", "links", "likely", "tokens"):
+        for name in ("open", "held", "groups", "leaders", "links", "likely", "tokens"):
             self._drop(name)
         return self.spark.createDataFrame([], "cid long, label long") if labels is None else labels
 
