@@ -14,7 +14,8 @@ as one). Equal sets are one class, so copies are never expanded. The steps:
    which meets most others in all bands), n - 1 for n, never all pairs, and what is
    linked goes together. A last step compares
    the sketches of what is left of a group, if of different components, in blocks within
-   tasks: only pairs that pass the estimate leave a task.
+   tasks: pairs that pass the estimate are verified there, and fewer links than classes
+   leave a block.
 4. Estimate. The share of equal registers, corrected by the expected share of chance
    collisions of two sets of these sizes, must not lie DEVIATIONS standard deviations
    under the least similarity. For sets of few shingles this rules nothing out.
@@ -49,7 +50,7 @@ BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 LEAST, OF = 80, 100  # links have OF * intersection >= LEAST * union
 DEVIATIONS = 5
-STAR_ROUNDS, CHUNK, BLOCK = 1, 256, 2048
+STAR_ROUNDS, CHUNK, BLOCK = 1, 256, 512
 _FEW = 48  # sets of so few values fill their empty registers one by one
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -247,21 +248,28 @@ def _alike(n: int, data: bytes, ms: list[int], others: list[bytes]) -> Iterator[
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within a group's block, or across two: rows (band, x, y, side, cid, n, label, registers), sorted.
+    """Links within a group's block, or across two: rows (band, x, y, side, cid, n, label, registers, data), sorted.
 
-    Classes of side 0 are held (BLOCK at most); those of side 1 are compared with them one
-    by one, and where x = y also the held ones with each other.
+    Classes of side 0 are held (about BLOCK); those of side 1 are compared with them one by
+    one, and where x = y also the held ones with each other. Pairs that pass the estimate
+    are verified here, unless links of this block join them already; so a block gives fewer
+    links than it has classes, however many of its pairs are alike.
     """
     now = None
     held: list[tuple] = []
     arrays: tuple[np.ndarray, ...] = ()
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = i = parent.get(up, up)
+        return i
 
     for b in batches:
         found: list[tuple[int, int]] = []
-        for band, x, y, side, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for band, x, y, side, cid, n, label, registers, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (band, x, y) != now:
-                now, held, arrays = (band, x, y), [], ()
-            cid, n, label, registers = row
+                now, held, arrays, parent = (band, x, y), [], (), {}
             mine = np.frombuffer(registers, np.uint16)
             if held and (x == y or side == 1):
                 if side == 0 or not arrays:
@@ -271,16 +279,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = np.flatnonzero((labels != label) & _sized(sizes, n))
                 for i in range(0, len(some), 512):
                     part = some[i : i + 512]
-                    good = _worth(regs[part], sizes[part], np.broadcast_to(mine, (len(part), REGISTERS)), np.full(len(part), n))
-                    found += [(min(cid, c), max(cid, c)) for c in ids[part[good]].tolist()]
+                    good = part[_worth(regs[part], sizes[part], np.broadcast_to(mine, (len(part), REGISTERS)), np.full(len(part), n))]
+                    for j in good.tolist():
+                        other = int(ids[j])
+                        if root(cid) != root(other) and next(_alike(n, data, [int(sizes[j])], [held[j][4]])):
+                            parent[root(cid)] = root(other)
+                            found.append((min(cid, other), max(cid, other)))
             if side == 0:
-                held.append((cid, n, label, mine))
+                held.append((cid, n, label, mine, data))
         if found:
             yield _pairs(found)
 
 
 def _held(rows: list[tuple], arrays: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """The rows as columns with room for as many again; what is there already is only added to."""
+    """The rows' first four fields as columns with room for as many again; what is there already is only added to."""
     if not arrays or len(arrays[0]) < len(rows):
         room = 2 * len(rows)
         new = tuple(np.zeros(room, np.int64) for _ in range(3)) + (np.zeros((room, REGISTERS), np.uint16),)
@@ -288,7 +300,7 @@ def _held(rows: list[tuple], arrays: tuple[np.ndarray, ...]) -> tuple[np.ndarray
     else:
         new, start = arrays, len(rows) - 1
     for i in range(start, len(rows)):
-        for column, x in zip(new, rows[i], strict=True):
+        for column, x in zip(new, rows[i][:4], strict=True):
             column[i] = x
     return new
 
@@ -336,15 +348,17 @@ class NearDuplicates:
         rows = leads.unionByName(members).repartition(self.parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
         return rows.mapInArrow(_led(test), PAIR)
 
-    def _verified(self, pairs: DataFrame, estimated: bool) -> DataFrame:
-        if not estimated:
-            pairs = self._tested(pairs, self.reps.withColumnRenamed("registers", "data"), _likely)
-        pairs = self._kept(pairs, "likely")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    def _tokens(self, named: DataFrame) -> DataFrame:
+        """(cid, n, data): the sets of the classes ``named`` (cid), a written table."""
         named = named.join(self.classes, "cid").select("cid", "key", "least", F.col("h").alias("of"))
         texts = self.base.join(named, (F.col("h") == F.col("of")) & F.col("_id").eqNullSafe(F.col("least"))).select("cid", "key", "_text")
-        tokens = texts.mapInArrow(_tokens(self.k), "cid long, n long, data binary").dropDuplicates(["cid"])
-        return self._kept(self._tested(pairs, self._kept(tokens, "tokens"), _alike), "links")
+        return self._kept(texts.mapInArrow(_tokens(self.k), "cid long, n long, data binary").dropDuplicates(["cid"]), "tokens")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b) the links: first by the estimate, then on the sets."""
+        likely = self._kept(self._tested(pairs, self.reps.withColumnRenamed("registers", "data"), _likely), "likely")
+        tokens = self._tokens(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        return self._tested(likely, tokens, _alike)
 
     def _open(self, entries: DataFrame, step: int) -> DataFrame:
         """Entries of the bands whose classes are not all of one label, with a leader ``l`` and their number.
@@ -370,7 +384,7 @@ class NearDuplicates:
         return met.select(F.least("cid", F.col("l.cid")).alias("a"), F.greatest("cid", F.col("l.cid")).alias("b")).distinct()
 
     def _rest(self, entries: DataFrame) -> DataFrame:
-        """Likely pairs of different labels in each band's group, met block by block within tasks."""
+        """Links between different labels in each band's group, met block by block within tasks."""
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         rows = entries.withColumn("blocks", blocks).withColumn("own", own)
@@ -378,8 +392,9 @@ class NearDuplicates:
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y"), (F.col("own") > i).cast("int").alias("side")),
         )
-        rows = rows.select("band", F.explode(meet).alias("m"), "cid", "label").join(self.reps, "cid")
-        rows = rows.select("band", "m.x", "m.y", "m.side", "cid", "n", "label", "registers")
+        tokens = self._tokens(entries.select("cid").distinct()).select("cid", "data")
+        rows = rows.select("band", F.explode(meet).alias("m"), "cid", "label").join(self.reps.join(tokens, "cid"), "cid")
+        rows = rows.select("band", "m.x", "m.y", "m.side", "cid", "n", "label", "registers", "data")
         return rows.repartition(self.parts, "band", "x", "y").sortWithinPartitions("band", "x", "y", "side").mapInArrow(_blocks, PAIR).distinct()
 
     def labels(self) -> DataFrame:
@@ -390,8 +405,7 @@ class NearDuplicates:
             entries = self._kept(self._open(entries, step), "open")
             if entries.isEmpty():
                 break
-            last = step == STAR_ROUNDS
-            new = self._verified(self._rest(entries) if last else self._stars(entries), last)
+            new = self._kept(self._rest(entries) if step == STAR_ROUNDS else self._verified(self._stars(entries)), "links")
             if not new.isEmpty():
                 labels = self._merged(labels, new)
             entries = entries.drop("l", "c")
