@@ -50,7 +50,7 @@ BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 LEAST, OF = 80, 100  # links have OF * intersection >= LEAST * union
 DEVIATIONS = 5
-STAR_ROUNDS, CHUNK, BLOCK = 1, 256, 512
+STAR_ROUNDS, CHUNK, BLOCK, BLOCK_SHINGLES = 1, 256, 2048, 4_000_000
 _FEW = 48  # sets of so few values fill their empty registers one by one
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -367,8 +367,8 @@ class NearDuplicates:
         copies that were changed here and there it is what they were made from, to which
         they are all nearer than to each other. Later ones are any.
         """
-        groups = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-        held = self._kept(entries.join(self._kept(groups.select("band", "c"), "groups"), "band"), "held")
+        groups = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("mass")).where("lo <> hi")
+        held = self._kept(entries.join(self._kept(groups.select("band", "c", "mass"), "groups"), "band"), "held")
         row = F.struct("cid", "n", "label")
         if step == 0:
             weight = held.groupBy("cid").agg(F.sum("c").alias("w"))
@@ -385,7 +385,8 @@ class NearDuplicates:
 
     def _rest(self, entries: DataFrame) -> DataFrame:
         """Links between different labels in each band's group, met block by block within tasks."""
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        # What a task holds of a block is bounded by its classes and by their shingles (32 MB).
+        blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int")
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         rows = entries.withColumn("blocks", blocks).withColumn("own", own)
         meet = F.transform(
@@ -408,7 +409,7 @@ class NearDuplicates:
             new = self._kept(self._rest(entries) if step == STAR_ROUNDS else self._verified(self._stars(entries)), "links")
             if not new.isEmpty():
                 labels = self._merged(labels, new)
-            entries = entries.drop("l", "c")
+            entries = entries.drop("l", "c", "mass")
             if labels is not None:
                 entries = entries.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         for name in ("open", "held", "groups", "leaders", "links", "likely", "tokens"):
