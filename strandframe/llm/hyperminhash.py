@@ -119,16 +119,30 @@ def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def estimates(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Similarities of sketches a[i] of n[i] shingles and b[i] of m[i], corrected for collisions."""
+    return _corrected(_equal(a, b), n, m)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(a == b, axis=1) / REGISTERS
+
+
+def _corrected(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     chance = collisions(n, m)
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+    return (equal - chance) / (1 - chance)
 
 
 def _worth(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether the estimate leaves it open that the least similarity is reached."""
     t = LEAST / OF
-    smaller = np.minimum(n, m)
-    independent = REGISTERS * -np.expm1(-smaller / REGISTERS)
-    return estimates(a, n, b, m) >= t - DEVIATIONS * np.sqrt(t * (1 - t) / independent)
+    independent = REGISTERS * -np.expm1(-np.minimum(n, m) / REGISTERS)
+    least = t - DEVIATIONS * np.sqrt(t * (1 - t) / independent)
+    equal = _equal(a, b)
+    # The correction only lowers a share: where the share itself is too low it is not worked out.
+    worth = equal >= least
+    some = np.flatnonzero(worth)
+    if len(some):
+        worth[some] = _corrected(equal[some], n[some], m[some]) >= least[some]
+    return worth
 
 
 def _sized(n, m):
