@@ -8,6 +8,7 @@ a lost task gives the same result when it runs again.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 from collections.abc import Iterator
@@ -233,23 +234,82 @@ def _nth(items: list[int], size: int, i: int) -> list[int]:
     return out
 
 
+def ranked_cuts(tree: Tree, table: Table, spots: list[int], size: int) -> Iterator[tuple[float, tuple[int, ...]]]:
+    """(residual, choice) of the choices of ``size`` spots, in this order, as far as they are asked for.
+
+    Best first: a node has taken some spots and passed over others; its bound is the
+    residual with all spots cut that it has not passed over. That parts the columns
+    finer than any of its choices, so none of them has less. Spots whose cut is worth most
+    are decided first, as passing over one of them raises the bound at once.
+    """
+
+    def residual(mask: int) -> float:
+        return table.sse(tree.labels([frozenset([v]) for i, v in enumerate(spots) if mask >> i & 1]))
+
+    if size > len(spots):
+        return
+    every = (1 << len(spots)) - 1
+    turn = sorted(range(len(spots)), key=lambda i: -residual(every & ~(1 << i)))
+    undecided = [0] * (len(spots) + 1)
+    for j in range(len(spots) - 1, -1, -1):
+        undecided[j] = undecided[j + 1] | 1 << turn[j]
+    # (bound, leaf or not, choice, taken, first undecided): at equal numbers nodes go first,
+    # so that all choices of a residual are there before the first of them is given.
+    heap: list[tuple] = [(-math.inf, 0, (), 0, 0)]
+    while heap:
+        low, leaf, choice, taken, at = heapq.heappop(heap)
+        if leaf:
+            yield low, choice
+            continue
+        lacking = size - taken.bit_count() - 1
+        if lacking < 0:  # no spot is asked for
+            heapq.heappush(heap, (residual(0), 1, (), 0, at))
+            continue
+        for j in range(at, len(spots) - lacking):
+            mask = taken | 1 << turn[j]
+            if lacking:
+                bound = residual(mask | undecided[j + 1])
+                heapq.heappush(heap, (bound - 1e-9 * abs(bound), 0, (), mask, j + 1))
+            else:
+                picked = tuple(v for i, v in enumerate(spots) if mask >> i & 1)
+                heapq.heappush(heap, (residual(mask), 1, picked, mask, j + 1))
+
+
+def diverse_cuts(tree: Tree, table: Table, size: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The best choice, then again and again the best of those without a spot taken before;
+    where none is left, filled up to n by residual."""
+    spots = tree.qualified()
+    taken: list[tuple[float, tuple[int, ...]]] = []
+    used: set[int] = set()
+    while len(taken) < n:
+        best = next(ranked_cuts(tree, table, [v for v in spots if v not in used], size), None)
+        if best is None:
+            break
+        taken.append(best)
+        if not size:
+            break
+        used |= set(best[1])
+    if len(taken) < n:
+        others = (x for x in ranked_cuts(tree, table, spots, size) if x not in taken)
+        taken += list(itertools.islice(others, n - len(taken)))
+    return taken
+
+
 def smart_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n: int) -> DataFrame:
-    """Per k the best choice of cuts and then, by residual, those that share no cut vertex
-    with any taken; filled up by residual. Choices are read in order, as far as needed."""
-    rows = []
-    for k in ks:
-        taken: list[tuple] = []
-        others: list[tuple] = []
-        for r in scored_cuts(spark, tree, table, k).orderBy("residual", "combo").toLocalIterator():
-            if not any(set(r.combo) & set(c) for c, _ in taken):
-                taken.append((r.combo, r.residual))
-            elif len(others) < n:
-                others.append((r.combo, r.residual))
-            if len(taken) == n:
-                break
-        taken += others[: n - len(taken)]
-        rows += [(k, i, "cut", r, tree.labels([frozenset([v]) for v in c]).tolist()) for i, (c, r) in enumerate(taken)]
-    return spark.createDataFrame(rows, FIT)
+    """Per k the n cut choices of ``diverse_cuts``, each k in a task of its own; none for a k
+    that asks for more cuts than there are qualified vertices."""
+    sent = spark.sparkContext.broadcast((tree, table))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, table = sent.value
+        for b in batches:
+            out = []
+            for k in b["k"]:
+                for i, (r, choice) in enumerate(diverse_cuts(tree, table, int(k) - 1, n)):
+                    out.append((k, i, "cut", r, tree.labels([frozenset([v]) for v in choice]).tolist()))
+            yield pd.DataFrame(out, columns=["k", "start_id", "generated", "residual", "assignment"])
+
+    return _spread(spark, [(k,) for k in ks], "k int").mapInPandas(run, FIT)
 
 
 def fits(starts: DataFrame, tree: Tree, table: Table, seed: int = 0) -> DataFrame:

@@ -106,6 +106,11 @@ def c6(spark, sf):
     return found.select(F.col("combo")[0].alias("cut"), F.round("residual", 4).alias("residual"))
 
 
+@query("C6_diverse_starts")
+def c6_diverse(spark, sf):
+    return cl.smart_starts(spark, nation_tree(spark, sf), nation_table(spark, sf), KS, STARTS)
+
+
 @query("C7_parallel_restarts")
 def c7(spark, sf):
     tree, table = nation_tree(spark, sf), nation_table(spark, sf)
