@@ -29,9 +29,10 @@ def step_up(values: DataFrame, p: str, name: str) -> DataFrame:
     m = at.agg(F.max("upto").alias(total))
     raw = at.crossJoin(F.broadcast(m)).select(p, "bucket", (F.col(p) * F.col(total) / F.col("upto")).alias("raw"))  # m is one row
     by_bucket = raw.groupBy("bucket").agg(F.min("raw").alias(least))
-    later = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = by_bucket.select("bucket", F.min(least).over(later).alias(after))  # one row a bucket
-    within = Window.partitionBy("bucket").orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # In falling order, as a frame that ends at the last row is worked out anew for each row.
+    within = Window.partitionBy("bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     adjusted = raw.withColumn(least, F.min("raw").over(within)).join(by_bucket, "bucket")
     adjusted = adjusted.select(F.col(p).alias(after), F.least(least, after, F.lit(1.0)).alias(name))
     return values.join(adjusted, F.col(p) == F.col(after), "left").drop(after)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandframe.runtime import fresh_names
 
 #: Length of the stretches of a chromosome that windows are run over.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 18
 
 
 def _segments(rows: DataFrame, at: str, segment: int) -> DataFrame:
@@ -94,12 +94,14 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, segment: int = SEG
     b_left = F.when(F.col("side") == 0, F.struct("stop", (-F.col("start")).alias("ns"), (-F.col("id")).alias("ni")))
     b_right = F.when(F.col("side") == 0, F.struct("start", "stop", "id"))
     ends = at.groupBy("chr", "_seg").agg(F.max(b_left).alias("_l"), F.min(b_right).alias("_r"))
-    order = Window.partitionBy("chr").orderBy("_seg")
-    ends = ends.select("chr", "_seg", F.max("_l").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_l"), F.min("_r").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_r"))
-    by = Window.partitionBy("chr", "_seg").orderBy("at", F.col("side").desc())
+    up, down = Window.partitionBy("chr").orderBy("_seg"), Window.partitionBy("chr").orderBy(F.desc("_seg"))
+    ends = ends.select("chr", "_seg", F.max("_l").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_l"), F.min("_r").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_r"))
+    # What follows is what goes before in falling order: Spark works out a frame that ends at
+    # the last row anew for each row.
+    stretch, run = Window.partitionBy("chr", "_seg"), (Window.unboundedPreceding, Window.currentRow)
     # greatest and least pass over nulls, as max and min do.
-    left = F.greatest(F.max(b_left).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_l"))
-    right = F.least(F.min(b_right).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_r"))
+    left = F.greatest(F.max(b_left).over(stretch.orderBy("at", F.col("side").desc()).rowsBetween(*run)), F.col("_l"))
+    right = F.least(F.min(b_right).over(stretch.orderBy(F.desc("at"), "side").rowsBetween(*run)), F.col("_r"))
     rows = at.join(ends, ["chr", "_seg"]).withColumn("l", left).withColumn("r", right).where("side = 1")
     over = F.col("l.stop") > F.col("start")
     gap_l = F.col("start") - F.col("l.stop") + 1
@@ -127,8 +129,9 @@ def _first_overlap(a: DataFrame, b: DataFrame, segment: int) -> DataFrame:
     both = records.select("chr", F.col("stop").alias("at"), F.lit(1).alias("side"), "id").unionByName(a.select("chr", F.col("start").alias("at"), F.lit(0).alias("side"), "id"))
     both = _segments(both, "at", segment)
     record = F.when(F.col("side") == 1, F.struct("at", "id"))
-    later = both.groupBy("chr", "_seg").agg(F.min(record).alias("_n")).select("chr", "_seg", F.min("_n").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    here = Window.partitionBy("chr", "_seg").orderBy("at", F.col("side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = Window.partitionBy("chr").orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    later = both.groupBy("chr", "_seg").agg(F.min(record).alias("_n")).select("chr", "_seg", F.min("_n").over(down).alias("_next"))
+    here = Window.partitionBy("chr", "_seg").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.join(later, ["chr", "_seg"]).withColumn("_f", F.least(F.min(record).over(here), F.col("_next")))
     return found.where("side = 0").select("id", F.col("_f.id").alias("first"))
 
