@@ -115,16 +115,47 @@ def _summed(ratio, terms: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
 
 
-def poisson_ln_tail(k: Column, rate: Column) -> Column:
-    """ln P(X >= k) for X ~ Poisson(rate), rate > 0, from the term at k up, or 1 less those from k - 1 down."""
-    k = k.cast("double")
+_ln_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def poisson_ln_tails(k: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """ln P(X >= k) for X ~ Poisson(rate), rate > 0, from the term at k up, or 1 less those from k - 1 down.
+
+    All rows take a step at a time; those whose terms no longer count leave.
+    """
+    k, rate = np.asarray(k, np.float64), np.asarray(rate, np.float64)
     up = k > rate
-    at = F.when(up, k).otherwise(k - 1)
-    far = F.ceil(12 * F.sqrt(rate)) + 60
-    terms = F.when(up, far).otherwise(F.least(at, far.cast("double")))
-    total = _summed(lambda j: F.when(up, rate / (at + j)).otherwise((at - j + 1) / rate), terms)
-    side = at * F.ln(rate) - rate - ln_factorial(at) + F.ln(total)
-    return F.when(k <= 0, 0.0).when(up, F.least(side, F.lit(0.0))).otherwise(F.ln(F.greatest(1 - F.exp(side), F.lit(0.0))))
+    at = np.where(up, k, np.maximum(k - 1, 0))
+    total = np.ones(len(k))
+    left = np.flatnonzero((k > 0) & (rate > 0))
+    first, by, term, rising, j = at[left], rate[left], np.ones(len(left)), up[left], 0
+    while len(left):
+        j += 1
+        term = term * np.where(rising, by / (first + j), np.maximum(first - j + 1, 0) / by)
+        total[left] += term
+        # Terms fall ever faster: below this, what is left of them is below a double's precision.
+        keep = term > 1e-18 * total[left]
+        if not keep.all():
+            left, first, by, term, rising = (v[keep] for v in (left, first, by, term, rising))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        levels, place = np.unique(at, return_inverse=True)
+        side = at * np.log(rate) - rate - _ln_gamma(levels + 1)[place] + np.log(total)
+        tail = np.where(up, np.minimum(side, 0.0), np.log(np.maximum(1 - np.exp(side), 0.0)))
+    return np.where(k <= 0, 0.0, tail)
+
+
+def _poisson_batch(k: pd.Series, rate: pd.Series) -> pd.Series:
+    k, rate = k.to_numpy(np.float64), rate.to_numpy(np.float64)
+    known = ~np.isnan(k) & ~np.isnan(rate)
+    out = np.full(len(k), np.nan)
+    out[known] = poisson_ln_tails(k[known], rate[known])
+    p = pd.Series(out)
+    return p.where(p.notna(), None)
+
+
+def poisson_ln_tail(k: Column, rate: Column) -> Column:
+    """``poisson_ln_tails`` of two columns, in batches; null where either is."""
+    return F.pandas_udf(_poisson_batch, T.DoubleType())(k.cast("double"), rate)
 
 
 def hypergeometric_ln_tail(k: Column, held: Column, drawn: Column, every: Column) -> Column:

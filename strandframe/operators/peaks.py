@@ -70,6 +70,7 @@ def scored_pileup(reads: DataFrame, extent: int, genome: int, shift: int = 0, wi
     rows = pileup(reads, extent, shift, windows, segment).where("depth > 0").crossJoin(F.broadcast(total))  # one row
     expected = [F.col("total") * (extent / genome), *(F.col(f"near{i}") * (extent / w) for i, w in enumerate(windows))]
     rate = F.greatest(*expected) if windows else expected[0]
+    ship(reads.sparkSession)
     rows = rows.select("chr", "start", "stop", "depth", rate.alias("rate"))
     return rows.withColumn("score", -poisson_ln_tail(F.col("depth"), F.col("rate")) / math.log(10))
 
@@ -82,7 +83,9 @@ def call_peaks(reads: DataFrame, extent: int, genome: int, least_score: float, s
     rows of a peak, and depth, score and fold ((depth + 1) / (rate + 1)) are those there.
     Duplicate reads all count. A peak is put together by partial aggregates.
     """
-    found = scored_pileup(reads, extent, genome, shift, windows, segment).where(F.col("score") >= least_score)
+    # Scores are worked out once: windows and joins read their table.
+    scored = written(scored_pileup(reads, extent, genome, shift, windows, segment), "peaks")
+    found = scored.where(F.col("score") >= least_score)
     merged = islands(found.withColumn("stop", F.col("stop") + gap), [], segment)
     deepest = F.max_by(F.struct("start", "stop", "depth", "rate", "score"), F.struct("depth", (-F.col("start")).alias("first"))).alias("top")
     peaks = merged.groupBy("chr", "island").agg(F.min("start").alias("start"), (F.max("stop") - gap).alias("stop"), deepest)

@@ -21,3 +21,20 @@ def test_no_window_frame_ends_at_the_last_row(spark):
     assert "unboundedfollowing" not in plan(adjusted)
     want = np.minimum.accumulate((np.arange(9) / 9 * 9 / np.arange(1, 10))[::-1])[::-1]
     assert [r.adj for r in adjusted.orderBy("p").collect()] == pytest.approx(np.minimum(want, 1).tolist())
+
+
+def test_poisson_tails_are_worked_out_in_batches_once_for_each_row(spark, monkeypatch):
+    """A list of terms for each row took most of the calls' time, three times over."""
+    from strandframe.functions import tails
+    from strandframe.operators import peaks as pk
+
+    reads = spark.range(60).select(F.lit("x").alias("chr"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 30).alias("stop"), F.lit("+").alias("strand"))
+    assert "lambda" not in plan(pk.scored_pileup(reads, 50, 10_000))
+    tables = []
+    monkeypatch.setattr(pk, "written", lambda df, purpose: tables.append(plan(df)) or df.localCheckpoint())
+    called = pk.call_peaks(reads, 50, 10_000, 1.0)
+    assert len(tables) == 1 and "poisson" in tables[0] and "poisson" not in plan(called)
+    k = np.array([0.0, 1, 5, 40, 3, 2000, 900])
+    rate = np.array([2.0, 1e-3, 5, 3, 50, 900, 900])
+    want = [np.log(sum(np.exp(i * np.log(r) - r - np.vectorize(__import__("math").lgamma)(i + 1.0)) for i in np.arange(x, x + 3000))) for x, r in zip(k, rate, strict=True)]
+    assert tails.poisson_ln_tails(k, rate) == pytest.approx(want, rel=1e-8, abs=1e-8)
