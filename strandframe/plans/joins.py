@@ -101,8 +101,8 @@ def j10(spark, sf):
 
 @query("J11_block_self_join", sql("bits", "WITH r AS (SELECT row_id, sum(x) AS ones, list(x ORDER BY col_id) AS v FROM bits GROUP BY row_id), d AS (SELECT a.ones AS n1, b.ones AS n2, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS d FROM r a JOIN r b ON a.row_id <> b.row_id AND b.ones - a.ones IN (0, 1)) SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, d, count(*) AS pairs FROM d GROUP BY n1, n2, d"))
 def j11(spark, sf):
-    d = st.pair_distances(mx.pack(S.bits(spark, sf), 64), 0, 64)
-    return d.groupBy("n1", "n2", "d").agg(F.count("*").alias("pairs")).select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.col("d").cast("long").alias("d"), "pairs")
+    d = st.distance_histogram(mx.pack(S.bits(spark, sf), 64), 64)
+    return d.groupBy("n1", "n2", "d").agg(F.sum("n").alias("pairs")).select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.col("d").cast("long").alias("d"), "pairs")
 
 
 @query("J12_replicate_pairs", "SELECT a.conv_id, a.turn AS i, b.turn AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn")

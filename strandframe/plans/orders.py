@@ -128,7 +128,7 @@ def w3(spark, sf):
 
 @query("W4_cumulative_histogram", sql("bits", "WITH r AS (SELECT row_id, sum(x) AS ones, list(x ORDER BY col_id) AS v FROM bits GROUP BY row_id), d AS (SELECT a.row_id AS r1, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS d FROM r a JOIN r b ON a.row_id <> b.row_id AND b.ones = a.ones), h AS (SELECT r1, d, count(*) AS n FROM d GROUP BY r1, d) SELECT r1, d, CAST(sum(n) OVER (PARTITION BY r1 ORDER BY d ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM h"))
 def w4(spark, sf):
-    h = st.pair_distances(mx.pack(S.bits(spark, sf), 64), 0, 64).where("n1 = n2").groupBy("r1", "d").agg(F.count("*").alias("n"))
+    h = st.distance_histogram(mx.pack(S.bits(spark, sf), 64), 64, (0,))
     w = Window.partitionBy("r1").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     return h.select("r1", F.col("d").cast("long").alias("d"), F.sum("n").over(w).alias("cum"))
 

@@ -38,3 +38,28 @@ def test_poisson_tails_are_worked_out_in_batches_once_for_each_row(spark, monkey
     rate = np.array([2.0, 1e-3, 5, 3, 50, 900, 900])
     want = [np.log(sum(np.exp(i * np.log(r) - r - np.vectorize(__import__("math").lgamma)(i + 1.0)) for i in np.arange(x, x + 3000))) for x, r in zip(k, rate, strict=True)]
     assert tails.poisson_ln_tails(k, rate) == pytest.approx(want, rel=1e-8, abs=1e-8)
+
+
+def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    """A row for each pair used to be made, and shuffled to find cutoffs."""
+    from strandframe.operators import matrix as mx
+    from strandframe.operators import stats as st
+
+    monkeypatch.setattr(st, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    bits = rng.random((60, 80)) < np.repeat([0.03, 0.5], 30)[:, None]
+    cells = spark.createDataFrame([(i, j, int(bits[i, j])) for i in range(60) for j in range(80)], "row_id long, col_id int, x int")
+    packed = mx.pack(cells, 80)
+    ones, d = bits.sum(axis=1), (bits[:, None] != bits[None]).sum(axis=2)
+    want = {}
+    for i in range(60):
+        for j in range(60):
+            if i != j and ones[j] - ones[i] in (0, 1):
+                key = (i, int(ones[i]), int(ones[j]), int(d[i, j]))
+                want[key] = want.get(key, 0) + 1
+    counts = st.distance_histogram(packed, 80)
+    assert {(r.r1, r.n1, r.n2, r.d): r.n for r in counts.collect()} == want
+    cuts = spark.createDataFrame([(i, int(ones[i]) + s, 50 if i < 40 else 2) for i in range(60) for s in (0, 1)], "r1 long, n2 int, cut int")
+    pairs = {(i, j) for i in range(60) for j in range(60) if ones[j] - ones[i] in (0, 1) and d[i, j] <= (50 if i < 40 else 2) and (ones[i] != ones[j] or i < j)}
+    got = [tuple(r) for r in st.near_pairs(packed, cuts).collect()]
+    assert set(got) == pairs and len(got) == len(pairs) > 0
