@@ -63,3 +63,51 @@ def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
     pairs = {(i, j) for i in range(60) for j in range(60) if ones[j] - ones[i] in (0, 1) and d[i, j] <= (50 if i < 40 else 2) and (ones[i] != ones[j] or i < j)}
     got = [tuple(r) for r in st.near_pairs(packed, cuts).collect()]
     assert set(got) == pairs and len(got) == len(pairs) > 0
+
+
+def test_kmers_travel_together_and_are_counted_exactly(spark):
+    """A row of k letters for each letter used to be shuffled."""
+    from collections import Counter
+
+    from strandframe.functions import sequence as sq
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 33, 34, 35, 500, (1 << 20) + 300)]
+    texts += [texts[4], "A" * 200, "ACGT" * 30, "grün€😀" * 12, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, seq string")
+    for k in (34, 5):
+        want = Counter(t[i : i + k] for t in texts if t for i in range(len(t) - k + 1))
+        counted = sq.kmer_counts(df, k)
+        assert {r.kmer: r.n for r in counted.collect()} == want
+    rows = [r for r in sq.kmer_counts(df, 34)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in r]
+    assert len(rows) == 1 and "hashpartitioning(m#" in rows[0]  # strings by their least word, and no k-mers after them
+
+
+def test_only_kmers_that_a_word_may_be_become_rows(spark):
+    from strandframe.functions import sequence as sq
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (4, 5, 700, (1 << 20) + 9)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, seq string")
+    words = ["ACGTA", "GATTC", "ACG"]
+    found = sq.scan(df, spark.createDataFrame([(w,) for w in words], "word string"), 5)
+    back = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    kmers = {(w if s == "+" else back(w), w, s) for w in words[:2] for s in "+-"}
+    want = sorted((i, at, at + 5, w, s) for i, t in enumerate(texts) if t for at in range(len(t) - 4) for k, w, s in kmers if t.startswith(k, at))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "explode" not in plan(found)
+
+
+def test_letters_are_shuffled_by_hashes_in_batches(spark):
+    """A list of hash strings for each letter took seconds a megabyte."""
+    from hashlib import md5
+
+    from strandframe.functions import sequence as sq
+
+    rows = [("7", "ACGT" * 3000), ("x" * 60, "GATTACA"), ("8", "é€😀a"), (None, "ACGTACGTACGT"), ("9", ""), ("10", None)]
+    df = spark.createDataFrame(rows, "row_id string, seq string")
+    mixed = df.select("row_id", "seq", sq.shuffled(F.col("row_id"), F.col("seq"), 5).alias("m"))
+    assert "lambda" not in plan(mixed)
+    for r in mixed.collect():
+        key = lambda i: (md5("_".join([*([r.row_id] if r.row_id is not None else []), str(i), "5"]).encode()).hexdigest(), i)  # noqa: B023, E731
+        assert r.m == (r.seq and "".join(r.seq[i - 1] for i in sorted(range(1, len(r.seq) + 1), key=key)))
