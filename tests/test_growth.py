@@ -111,3 +111,70 @@ def test_letters_are_shuffled_by_hashes_in_batches(spark):
     for r in mixed.collect():
         key = lambda i: (md5("_".join([*([r.row_id] if r.row_id is not None else []), str(i), "5"]).encode()).hexdigest(), i)  # noqa: B023, E731
         assert r.m == (r.seq and "".join(r.seq[i - 1] for i in sorted(range(1, len(r.seq) + 1), key=key)))
+
+
+def test_edges_of_classes_add_up_to_those_of_rows(spark, monkeypatch):
+    """Equal rows used to be met, and linked, one by one."""
+    from collections import Counter
+
+    from strandframe.operators import stats as st
+
+    monkeypatch.setattr(st, "BLOCK_ROWS", 5)
+    rng = np.random.default_rng(4)
+    kinds = rng.random((25, 16)) < np.repeat([0.25, 0.4, 0.5, 0.6, 0.7], 5)[:, None]
+    kinds[5:8] = kinds[8]
+    kinds[5, 0], kinds[6, 1], kinds[7, 2] = ~kinds[5, 0], ~kinds[6, 1], ~kinds[7, 2]
+    bits = kinds[rng.choice(25, 300, p=np.r_[[0.3, 0.1], np.full(23, 0.6 / 23)])]
+    bits = np.r_[bits, rng.random((60, 16)) < 0.5]
+    rows = [(int(i), int(b.sum()), [int(sum(1 << int(c) for c in np.flatnonzero(b)))]) for i, b in zip(rng.permutation(len(bits)), bits, strict=True)]
+    packed = spark.createDataFrame(rows, "row_id long, ones int, bits array<long>")
+    undecided = []
+    for fdr in (0.3, 0.01):
+        edges, members = st.fdr_class_edges(packed, 16, fdr)
+        of = {r.row_id: r.v for r in members.collect()}
+        want = Counter(tuple(sorted((of[r.e1], of[r.e2]))) for r in st.fdr_edges(packed, 16, fdr).collect())
+        got = Counter()
+        for r in edges.collect():
+            got[tuple(sorted((r.e1, r.e2)))] += r.w
+        assert got == want and want
+        sizes = Counter(of.values())
+        undecided += [k for k, n in want.items() if k[0] != k[1] and n not in (1, sizes[k[0]] * sizes[k[1]])]
+    assert undecided and max(sizes.values()) > 20  # rows that come first decide in some
+
+
+def test_large_parts_move_in_rounds(spark, monkeypatch):
+    """A connected part used to be one task, whatever its size."""
+    import pandas as pd
+
+    from strandframe.operators import graph as gr
+
+    rng = np.random.default_rng(6)
+    group = np.arange(240) // 24
+    edges = [(i, j) for i in range(240) for j in range(i + 1, 240) if rng.random() < (0.6 if group[i] == group[j] else 0.01)]
+    edges += [(1000, 1001), (1001, 1002)]
+    df = spark.createDataFrame([(j, i) for i, j in edges], "e1 long, e2 long")
+    value = lambda d: gr.modularity(df, d).first().modularity
+    labels = {r.v: r.cluster for r in gr.louvain(df).collect()}
+    plain = gr._louvain
+    by_part = plain(np.asarray(edges[:-2]), 2.0 * len(edges))  # small parts go together, and get what they get alone
+    same = lambda d: {frozenset(v for v in by_part if d[v] == d[u]) for u in by_part}
+    assert same(labels) == same(by_part)
+    alone = value(spark.createDataFrame(list(labels.items()), "v long, cluster long"))
+    tasks = []
+    monkeypatch.setattr(gr, "PART_EDGES", 300)
+    moved = gr._moves
+    monkeypatch.setattr(gr, "_moves", lambda graph, total: tasks.append(graph.count()) or moved(graph, total))
+    labels = gr.louvain(df)
+    assert tasks and tasks[0] == len(edges) - 2
+    assert value(labels) > 0.99 * alone
+    got = {r.v: r.cluster for r in labels.collect()}
+    assert set(got) == {*range(240), 1000, 1001, 1002} and got[1000] == got[1001] == got[1002]
+    # Weights and loops stand for the edges of merged vertices.
+    half = pd.DataFrame(edges, columns=["a", "b"]) // 2
+    pairs = half.groupby(["a", "b"]).size()
+    whole = np.asarray([p for p, n in pairs.items() for _ in range(n)])
+    merged = plain(np.asarray(list(pairs.index)), 2.0 * len(edges), pairs.to_numpy(float))
+    assert merged == plain(whole, 2.0 * len(edges))
+    members = spark.range(240).union(spark.range(1000, 1003)).selectExpr("id div 2 as v", "id as row_id")
+    weighted = spark.createDataFrame([(int(a), int(b), int(n)) for (a, b), n in pairs.items()], "e1 long, e2 long, w long")
+    assert value(gr.louvain(weighted, "w", members)) > 0.95 * alone
