@@ -289,11 +289,18 @@ def pair_ends(pairs: DataFrame) -> DataFrame:
 
 
 def presence(windows: DataFrame, peaks: DataFrame, window_id: str, samples: list, width: int = 500) -> DataFrame:
-    """One row for each window, one 0/1 column for each sample that has a peak there."""
-    seen = overlap_pairs(windows, peaks, window_id, "sample", width).distinct()
-    wide = seen.groupBy(window_id).pivot("sample", samples).agg(F.count(F.lit(1)))
-    out = windows.select(window_id).join(wide, window_id, "left")
-    return out.select(window_id, *(F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast("int").alias(f"s{s}") for s in samples))
+    """One row for each window, one 0/1 column for each sample that has a peak there.
+
+    Equal places meet once: windows by place, peaks by place with the samples seen there.
+    """
+    at = F.struct("chr", "start", "stop")
+    places = windows.select("chr", "start", "stop").distinct().withColumn("_w", at)
+    held = peaks.groupBy("chr", "start", "stop").agg(F.collect_set("sample").alias("_p"))
+    there = lambda s: F.max(F.array_contains("_p", s).cast("int")).alias(f"s{s}")
+    seen = overlap_pairs(places, held, "_w", "_p", width).groupBy("_w").agg(*map(there, samples))
+    seen = seen.select(*(F.col(f"_w.{c}").alias(c) for c in ("chr", "start", "stop")), *(f"s{s}" for s in samples))
+    out = windows.select(window_id, "chr", "start", "stop").join(seen, ["chr", "start", "stop"], "left")
+    return out.select(window_id, *(F.coalesce(f"s{s}", F.lit(0)).alias(f"s{s}") for s in samples))
 
 
 def blacklist_union(*parts: DataFrame) -> DataFrame:

@@ -178,3 +178,18 @@ def test_large_parts_move_in_rounds(spark, monkeypatch):
     members = spark.range(240).union(spark.range(1000, 1003)).selectExpr("id div 2 as v", "id as row_id")
     weighted = spark.createDataFrame([(int(a), int(b), int(n)) for (a, b), n in pairs.items()], "e1 long, e2 long, w long")
     assert value(gr.louvain(weighted, "w", members)) > 0.95 * alone
+
+
+def test_equal_places_meet_once(spark):
+    """Each copy of a peak used to meet each copy of a window."""
+    a = spark.range(400).selectExpr("id as ord", "'x' as chr", "id % 4 * 100 as start", "id % 4 * 100 + 150 as stop", "id % 3 as sample")
+    out = iv.presence(a.where("ord < 200"), a.where("sample < 2"), "ord", [0, 1, 2])
+    assert {tuple(r)[1:] for r in out.collect()} == {(1, 1, 0)} and out.count() == 200
+    pairs = []
+    met = iv.overlap_pairs
+    try:
+        iv.overlap_pairs = lambda *x: pairs.append(met(*x)) or pairs[0]
+        iv.presence(a, a, "ord", [0, 1, 2])
+    finally:
+        iv.overlap_pairs = met
+    assert pairs[0].count() == 10
