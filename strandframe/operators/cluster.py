@@ -16,9 +16,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.operators import matrix as mx
+from strandframe.runtime import ship, written
+
 #: The statistics table may have so many cells at most (16 bytes each).
 MAX_CELLS = 4_000_000
 
@@ -394,60 +398,116 @@ def scalar_kmeans(table: Table, labels: np.ndarray, rounds: int = 1000) -> tuple
     return labels, loss
 
 
+#: So many bytes of bit-packed rows go to the driver and the tasks at most.
+PACKED_BYTES = 1 << 29
+
+
 def large_averages(cells: DataFrame, n_biclusters: int, restarts: int, seed: int = 0) -> DataFrame:
-    """(bicluster, row_id, col_id): submatrices of large average, one after the other.
+    """(bicluster, row_id, col_id): submatrices of 0/1 cells of large average, one after the other.
 
-    Restarts run in tasks on the standardised matrix, which is sent to them and must
-    fit one machine: above DRIVER_CELLS cells it raises. Rows of a bicluster leave before
-    the next one is looked for.
+    Restarts run in tasks on the standardised matrix. A column of it has two values, so what is
+    collected and sent to the tasks are rows of bits, a few bytes each: above PACKED_BYTES it
+    raises. A task returns scores; the best restart is run again for its rows. Rows of a
+    bicluster leave before the next one is looked for.
     """
     spark = cells.sparkSession
-    if (n := cells.count()) > DRIVER_CELLS:
-        raise ValueError(f"{n} cells: too many to send to each task")
-    p = cells.select("row_id", "col_id", "x").toPandas()
-    raw = p.pivot(index="row_id", columns="col_id", values="x").sort_index().sort_index(axis=1)
-    rows, cols, m = raw.index.to_numpy(), raw.columns.to_numpy(), raw.to_numpy(float)
-    z = _standard(m)
-    z = np.sign(z) * np.log1p(np.abs(z))
-    alive, out = np.arange(len(rows)), []
+    ship(spark)
+    ids = sorted(r.col_id for r in cells.select("col_id").distinct().collect())
+    index = F.array_position(F.array(*map(F.lit, ids)), F.col("col_id")) - 1
+    packed = written(mx.pack(cells.select("row_id", index.alias("col_id"), "x"), len(ids)), "packed")
+    size = packed.agg(F.count("*").alias("n")).first().n * 8 * -(-len(ids) // 63)
+    if size > PACKED_BYTES:
+        raise ValueError(f"{size} bytes of rows: too many to send to each task")
+    table = packed.select("row_id", "bits").toArrow().combine_chunks()
+    rows = table.column("row_id").to_numpy()
+    order = np.argsort(rows)
+    words = table.column("bits").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[order]
+    rows, held = rows[order], np.ascontiguousarray(words.astype("<i8")).view(np.uint8).reshape(len(rows), -1)
+    m = Signs(held, np.zeros(len(ids)), np.ones(len(ids)), [64 * (c // 63) + c % 63 for c in range(len(ids))])
+    m.standardise()
+    m.low, m.high = (np.sign(v) * np.log1p(np.abs(v)) for v in (m.low, m.high))
+    out: DataFrame | None = None
     for b in range(n_biclusters):
-        if len(alive) < 2:
+        if len(rows) < 2:
             break
-        sent = spark.sparkContext.broadcast(z)
+        sent = spark.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pd.DataFrame], b: int = b) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                got = [_search(sent.value, np.random.default_rng([seed, b, int(i)])) for i in batch["id"]]  # noqa: B023
-                yield pd.DataFrame({"id": batch["id"], "score": [g[0] for g in got], "r": [g[1].tolist() for g in got], "c": [g[2].tolist() for g in got]})
+                yield pd.DataFrame({"id": batch["id"], "score": [_search(sent.value, np.random.default_rng([seed, b, int(i)]))[0] for i in batch["id"]]})  # noqa: B023
 
-        work = spark.range(restarts).mapInPandas(run, "id long, score double, r array<int>, c array<int>")
+        work = spark.range(0, restarts, 1, max(1, min(restarts, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "id long, score double")
         best = work.orderBy(F.desc("score"), "id").limit(1).first()
-        out += [(b, int(rows[alive[r]]), int(cols[c])) for r in best.r for c in best.c]
-        keep = np.setdiff1d(np.arange(len(alive)), best.r)
-        alive, z = alive[keep], _standard(z[keep])
-    return spark.createDataFrame(out, "bicluster int, row_id long, col_id int")
-
+        _, r, c = _search(m, np.random.default_rng([seed, b, best.id]))
+        sent.unpersist()
+        some = spark.createDataFrame(pa.table({"row_id": pa.array(rows[r])}))
+        found = some.select(F.lit(b).alias("bicluster"), "row_id", F.explode(F.array(*(F.lit(ids[i]) for i in c))).alias("col_id"))
+        out = found if out is None else out.unionByName(found)
+        rows, m.bits = rows[~r], m.bits[~r]
+        if len(rows):
+            m.standardise()
+    kinds = [(f, cells.schema[f].dataType.simpleString()) for f in ("row_id", "col_id")]
+    if out is None:
+        return spark.createDataFrame([], "bicluster int, " + ", ".join(f"{f} {k}" for f, k in kinds))
+    return out.select("bicluster", *(F.col(f).cast(k).alias(f) for f, k in kinds))
 
-def _standard(m: np.ndarray) -> np.ndarray:
-    sd = m.std(axis=0, ddof=1) if len(m) > 1 else np.ones(m.shape[1])
-    return (m - m.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
 
-
-def _search(z: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
+@dataclass
+class Signs:
+    """A matrix whose column c is low[c] or high[c], as bit place[c] of a row's bytes says."""
+
+    bits: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    place: list[int]
+
+    def ones(self, some: np.ndarray | None = None) -> np.ndarray:
+        """Ones of each column, in all rows or those of a mask."""
+        total = np.zeros(8 * self.bits.shape[1], np.int64)
+        for a in range(0, len(self.bits), 1 << 16):
+            part = self.bits[a : a + (1 << 16)]
+            part = part if some is None else part[some[a : a + (1 << 16)]]
+            total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return total[self.place]
+
+    def standardise(self) -> None:
+        n, ones = len(self.bits), self.ones()
+        mean = self.low + (self.high - self.low) * ones / n
+        sd = np.abs(self.high - self.low) * np.sqrt(ones / n * (n - ones) / max(n - 1, 1)) if n > 1 else np.ones(len(ones))
+        sd = np.where(sd > 0, sd, 1.0)
+        self.low, self.high = (self.low - mean) / sd, (self.high - mean) / sd
+
+    def row_sums(self, c: np.ndarray) -> np.ndarray:
+        """Of the columns c, by a table for each byte."""
+        gain = np.zeros(8 * self.bits.shape[1])
+        gain[np.asarray(self.place)[c]] = (self.high - self.low)[c]
+        out = np.full(len(self.bits), self.low[c].sum())
+        every = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+        for i, g in enumerate(gain.reshape(-1, 8)):
+            if g.any():
+                out += (every * g).sum(axis=1)[self.bits[:, i]]
+        return out
+
+
+def _search(z: Signs, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
     """From random columns: best rows for the columns, best columns for the rows, until
-    either stays as it was."""
-    m, n = z.shape
+    either stays as it was. Score, mask of rows, columns."""
+    m, n = len(z.bits), len(z.low)
     k, width = int(rng.integers(1, max(2, m // 2 + 1))), int(rng.integers(1, n + 1))
     c = np.sort(rng.choice(n, width, replace=False))
-    r = np.empty(0, int)
+    r = np.zeros(m, bool)
     while True:
-        new_r = np.sort(np.argsort(-z[:, c].sum(axis=1), kind="stable")[:k])
-        new_c = np.sort(np.argsort(-z[new_r].sum(axis=0), kind="stable")[:width])
-        if np.array_equal(new_r, r) or np.array_equal(new_c, c):
-            r, c = new_r, new_c
-            break
+        sums = z.row_sums(c)
+        least = np.partition(sums, m - k)[m - k]
+        new_r = sums > least
+        new_r[np.flatnonzero(sums == least)[: k - int(new_r.sum())]] = True  # of equal rows the first
+        columns = z.low * k + (z.high - z.low) * z.ones(new_r)
+        new_c = np.sort(np.argsort(-columns, kind="stable")[:width])
+        done = np.array_equal(new_r, r) or np.array_equal(new_c, c)
         r, c = new_r, new_c
-    t = -z[np.ix_(r, c)].mean() * math.sqrt(k * width)
+        if done:
+            break
+    t = -columns[c].sum() / (k * width) * math.sqrt(k * width)
     choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
     # 0.717 and 0.416 of an approximation to the normal tail.
     return -choose(m, k) - choose(n, width) - (math.log(0.5) - 0.717 * t - 0.416 * t * t), r, c

@@ -180,6 +180,52 @@ def test_large_parts_move_in_rounds(spark, monkeypatch):
     assert value(gr.louvain(weighted, "w", members)) > 0.95 * alone
 
 
+def test_rows_of_bits_are_what_the_driver_takes(spark, monkeypatch):
+    """Every cell used to be taken to the driver, as a row of its own."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from strandframe.operators import cluster as cl
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((90, 70)) < rng.uniform(0.2, 0.8, 70)).astype(float)
+    x[10:40, 5:30] = rng.random((30, 25)) < 0.9
+    cells = spark.createDataFrame([(i * 3, j + 2, int(x[i, j])) for i in range(90) for j in range(70)], "row_id long, col_id int, x int")
+
+    def no(*a):
+        raise AssertionError("cells on the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", no)
+    got = cl.large_averages(cells, 2, 30).collect()
+
+    def standard(m):
+        sd = m.std(axis=0, ddof=1)
+        return (m - m.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+
+    def search(z, rng):
+        k, width = int(rng.integers(1, max(2, len(z) // 2 + 1))), int(rng.integers(1, z.shape[1] + 1))
+        c, r = np.sort(rng.choice(z.shape[1], width, replace=False)), np.empty(0, int)
+        while True:
+            new_r = np.sort(np.argsort(-z[:, c].sum(axis=1), kind="stable")[:k])
+            new_c = np.sort(np.argsort(-z[new_r].sum(axis=0), kind="stable")[:width])
+            done = np.array_equal(new_r, r) or np.array_equal(new_c, c)
+            r, c = new_r, new_c
+            if done:
+                break
+        lg = np.vectorize(__import__("math").lgamma)
+        t = -z[np.ix_(r, c)].mean() * (k * width) ** 0.5
+        choose = lambda a, b: lg(a + 1) - lg(b + 1) - lg(a - b + 1)
+        return -choose(len(z), k) - choose(z.shape[1], width) - (np.log(0.5) - 0.717 * t - 0.416 * t * t), r, c
+
+    z, alive, want = standard(x), np.arange(90), set()
+    z = np.sign(z) * np.log1p(np.abs(z))
+    for b in range(2):
+        _, _, r, c = max((s, -i, r, c) for i in range(30) for s, r, c in [search(z, np.random.default_rng([0, b, i]))])
+        want |= {(b, int(alive[i]) * 3, int(j) + 2) for i in r for j in c}
+        keep = np.setdiff1d(np.arange(len(alive)), r)
+        alive, z = alive[keep], standard(z[keep])
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_equal_places_meet_once(spark):
     """Each copy of a peak used to meet each copy of a window."""
     a = spark.range(400).selectExpr("id as ord", "'x' as chr", "id % 4 * 100 as start", "id % 4 * 100 + 150 as stop", "id % 3 as sample")
