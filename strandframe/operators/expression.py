@@ -226,15 +226,17 @@ def over_representation(chosen: DataFrame, annotations: DataFrame, edges: DataFr
     all terms above it too. The universe is the annotated genes; chosen ones outside of it
     don't count. Terms of fewer than ``least_term`` genes, or of none chosen, aren't tested.
     """
-    full = ancestors(edges)
-    direct = annotations.where("gene is not null and term is not null").select("gene", "term").distinct()
-    up = direct.join(full, "term").select("gene", F.col("above").alias("term"))
-    held = written(direct.unionByName(up).distinct(), "terms")  # terms that no edge names stay as they are
-    genes = held.select("gene").distinct()
-    picked = genes.join(chosen.select("gene").distinct(), "gene", "left_semi")
-    sizes = genes.agg(F.count("*").alias("universe")).crossJoin(picked.agg(F.count("*").alias("query_size")))  # one row
-    marked = held.join(picked.withColumn("hit", F.lit(1)), "gene", "left")
-    terms = marked.groupBy("term").agg(F.count("*").alias("term_size"), F.count("hit").alias("intersection_size"))
+    # Genes of the same terms are counted together before the terms above them are laid out.
+    direct = annotations.where("gene is not null and term is not null").groupBy("gene").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    marked = direct.join(chosen.select("gene").distinct().withColumn("hit", F.lit(1)), "gene", "left")
+    classes = written(marked.groupBy("terms").agg(F.count("*").alias("n"), F.count("hit").alias("k")), "terms")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(name)
+    sizes = classes.agg(total("n", "universe"), total("k", "query_size"))  # one row
+    above = ancestors(edges).groupBy("term").agg(F.collect_list("above").alias("above"))
+    each = classes.select("terms", "n", "k", F.explode("terms").alias("term")).join(above, "term", "left")
+    each = each.withColumn("above", F.coalesce("above", F.array("term")))  # terms that no edge names stay as they are
+    every = each.groupBy("terms", "n", "k").agg(F.array_distinct(F.flatten(F.collect_list("above"))).alias("above"))
+    terms = every.select("n", "k", F.explode("above").alias("term")).groupBy("term").agg(F.sum("n").alias("term_size"), F.sum("k").alias("intersection_size"))
     terms = terms.where((F.col("term_size") >= least_term) & (F.col("intersection_size") > 0)).crossJoin(F.broadcast(sizes))
     p = F.exp(tails.hypergeometric_ln_tail(F.col("intersection_size"), F.col("term_size"), F.col("query_size"), F.col("universe")))
     tested = terms.withColumn("recall", F.col("intersection_size") / F.col("term_size")).withColumn("p", p)

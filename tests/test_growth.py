@@ -239,3 +239,17 @@ def test_equal_places_meet_once(spark):
     finally:
         iv.overlap_pairs = met
     assert pairs[0].count() == 10
+
+
+def test_genes_of_the_same_terms_go_together(spark, monkeypatch):
+    """A row for each gene and each term above it used to be made in one task."""
+    tables = []
+    kept = ex.written
+    monkeypatch.setattr(ex, "written", lambda df, purpose: tables.append(kept(df, purpose)) or tables[-1])
+    genes = spark.range(600).selectExpr("id as gene", "concat('t', id % 3) as term").unionByName(spark.range(100).selectExpr("id as gene", "'lone' as term"))
+    edges = spark.createDataFrame([("t0", "a"), ("t1", "a"), ("t1", "b"), ("a", "top"), ("b", "top")], "term string, parent string")
+    got = {r.term: (r.term_size, r.intersection_size, r.query_size, r.universe) for r in ex.over_representation(spark.range(40, 900, 4).toDF("gene"), genes, edges).collect()}
+    of = {i: {f"t{i % 3}", *((), ("lone",))[i < 100], *(("a", "top"), ("a", "b", "top"), ())[i % 3]} for i in range(600)}
+    picked = {i for i in range(40, 600, 4)}
+    want = {t: (sum(t in v for v in of.values()), sum(t in of[i] for i in picked), len(picked), 600) for t in {t for v in of.values() for t in v}}
+    assert got == want and max(t.count() for t in tables) < 10
