@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.runtime import read_table
+from strandframe.runtime import read_table, tasks_for
 
 N_COLS = 25
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -27,13 +27,19 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
 def counts(spark: SparkSession, sf: str) -> DataFrame:
     """(row_id, col_id, n): line items of a part by nation of the customer; only n > 0.
 
-    The customer key is small beside orders and line items; nothing is broadcast by
-    hand, so Spark's size threshold decides.
+    Line items meet orders, and are counted, in as many tasks as they need: most pairs of part
+    and nation are seen once in a task, so a task's table of counts grows with its rows.
+    Customers are small beside orders; nothing is broadcast by hand, so Spark's size
+    threshold decides.
     """
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("l_partkey").alias("row_id"), F.col("c_nationkey").alias("col_id")).agg(F.count("*").alias("n"))
+    tasks = tasks_for(spark, li.count())
+    nation = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey").repartition(tasks, "o_orderkey")
+    met = li.repartition(tasks, "l_orderkey").join(nation, li.l_orderkey == nation.o_orderkey)
+    named = met.select(F.col("l_partkey").alias("row_id"), F.col("c_nationkey").alias("col_id")).repartition(tasks, "row_id", "col_id")
+    return named.groupBy("row_id", "col_id").agg(F.count("*").alias("n"))
 
 
 def ones(spark: SparkSession, sf: str) -> DataFrame:

@@ -253,3 +253,77 @@ def test_genes_of_the_same_terms_go_together(spark, monkeypatch):
     picked = {i for i in range(40, 600, 4)}
     want = {t: (sum(t in v for v in of.values()), sum(t in of[i] for i in picked), len(picked), 600) for t in {t for v in of.values() for t in v}}
     assert got == want and max(t.count() for t in tables) < 10
+
+
+def test_peaks_are_no_rows_of_their_own_for_each_background(spark, monkeypatch):
+    """A row for each run, motif and peak used to be made, and shuffled twice."""
+    import math
+    from hashlib import md5
+
+    from strandframe.operators import stats as st
+
+    monkeypatch.setattr(st, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(st, "HELD_CELLS", 60, raising=False)
+    rng = np.random.default_rng(12)
+    n = rng.integers(0, 5, (90, 6)) * (rng.random((90, 6)) < 0.7)
+    n[:, 5] += 1
+    gc, motifs = rng.random(90), [f"m{i}" for i in range(5)]
+    hits = [(p, m) for p in range(90) for m in motifs if rng.random() < 0.4]
+    cells = [(p, f"s{c}", int(n[p, c])) for p in range(90) for c in range(6) if n[p, c]]
+    # Counts of a peak in two rows add up, a motif named twice counts once, and unknown peaks don't.
+    cells = [(p, s, v - 1) for p, s, v in cells if v > 1] + [(p, s, 1) for p, s, v in cells]
+    tables = (spark.createDataFrame(cells, "peak long, sample string, n long"), spark.createDataFrame([*hits, *hits[:9], (999, "m0")], "peak long, tf string"), spark.createDataFrame([(i, float(g)) for i, g in enumerate(gc)], "peak long, gc double"))
+    offsets = [1, 5, 9_000_001, 2**23 + 3]
+    laid_out = []
+    monkeypatch.setattr(st, "written", lambda df, purpose: laid_out.append(df.localCheckpoint()) or laid_out[-1])
+    found = st.deviations(*tables, offsets, 3, 2)
+    assert "generate" not in plan(found)
+    assert laid_out and max(df.count() for df in laid_out) <= max(len(cells), (1 + len(offsets)) * len(motifs) * 6)
+    got = {(r.tf, r.sample): (r.deviation, r.z) for r in found.collect()}
+
+    total, share = n.sum(axis=1), n.sum(axis=0) / n.sum()
+    bins, place = {}, {}
+    for p in sorted(range(90), key=lambda p: (int(md5(f"{p}_3".encode()).hexdigest()[:15], 16), p)):
+        held = bins.setdefault((min(math.floor(gc[p] * 2), 1), math.floor(math.log2(1 + total[p]))), [])
+        place[p] = (held, len(held))
+        held.append(p)
+    for m in motifs:
+        own = [p for p, w in hits if w == m]
+        d = []
+        for off in [0, *offsets]:
+            at = [place[p][0][(place[p][1] + off) % len(place[p][0])] for p in own]
+            expected = share * total[at].sum()
+            d.append((n[at].sum(axis=0) - expected) / expected)
+        change, sd = d[0] - np.mean(d[1:], axis=0), np.std(d[1:], axis=0, ddof=1)
+        for c in range(6):
+            assert got.pop((m, f"s{c}")) == pytest.approx((change[c], change[c] / sd[c]), rel=1e-9)
+    assert not got
+
+
+def test_deviations_of_odd_tables(spark):
+    from strandframe.operators import stats as st
+
+    counts, hits, gc = "peak long, sample string, n {}", "peak long, tf string", "peak long, gc double"
+    make = spark.createDataFrame
+    none = st.deviations(make([], counts.format("long")), make([(1, "a")], hits), make([(1, 0.5)], gc), [1], 3)
+    assert none.count() == 0
+    assert st.deviations(make([(1, "x", 2)], counts.format("long")), make([], hits), make([(1, 0.5)], gc), [1], 3).count() == 0
+    rows = [(1, "x", 2.5), (1, "y", 1.5), (2, "x", 3.0), (2, None, 1.0), (None, "x", 1.0), (3, "x", None)]
+    some = st.deviations(make(rows, counts.format("double")), make([(1, "a"), (1, None), (3, "a")], hits), make([(1, 0.5), (2, 0.5), (3, 0.5)], gc), [1, 2], 3)
+    got = {(r.tf, r.sample): r.deviation for r in some.collect()}
+    assert set(got) == {(t, s) for t in ("a", None) for s in ("x", "y", None)}
+    # Runs are peaks 1, 2, 1: shares of all counts are 6.5, 1.5 and 1 of 9; what has no name is never seen.
+    assert got["a", "x"] == pytest.approx((2.5 / 4 - 3 / 4) / 2 / (6.5 / 9)) and got["a", "y"] == pytest.approx(1.5 / 4 / 2 / (1.5 / 9))
+    assert all(got[k] == 0 for k in got if None in k)
+
+
+def test_counts_get_more_tasks_as_line_items_grow(spark, monkeypatch):
+    """The session's number of partitions used to be all, whatever the input: a task's rows grew with it."""
+    from strandframe import runtime
+    from strandframe.plans import standins as S
+
+    few = S.counts(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500, raising=False)
+    many = S.counts(spark, "/root/testdata/sf0.001")
+    assert many.rdd.getNumPartitions() == 12 > few.rdd.getNumPartitions()  # 6000 line items
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
