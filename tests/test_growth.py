@@ -327,3 +327,24 @@ def test_counts_get_more_tasks_as_line_items_grow(spark, monkeypatch):
     many = S.counts(spark, "/root/testdata/sf0.001")
     assert many.rdd.getNumPartitions() == 12 > few.rdd.getNumPartitions()  # 6000 line items
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_edges_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Compressed edges passed for small: 135 MB of them were broadcast where a part's size was looked up."""
+    from strandframe.operators import graph as gr
+    from strandframe.operators import matrix as mx
+    from strandframe.operators import stats as st
+
+    plans, kind = [], type(spark.range(1))
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module, name in ((gr, "written"), (st, "written"), (kind, "checkpoint")):
+        monkeypatch.setattr(module, name, lambda df, *a, f=getattr(module, name), **b: f(noted(df), *a, **b))
+    rng = np.random.default_rng(4)
+    bits = np.repeat(rng.random((20, 64)) < 0.3, 3, axis=0)
+    cells = spark.createDataFrame([(i, int(j), 1) for i in range(60) for j in np.flatnonzero(bits[i])], "row_id long, col_id int, x int")
+    edges, members = st.fdr_class_edges(mx.pack(cells, 64), 64, 0.05)
+    found = noted(gr.louvain(edges, "w", members))
+    of = {r.v: r.cluster for r in found.collect()}
+    assert of and all(of[i] == of[i - i % 3] for i in of)
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 9 and not any("BroadcastHashJoin" in line and ("part" in line or "e1" in line or "row_id" in line) for line in joins)
