@@ -348,3 +348,33 @@ def test_edges_are_not_sent_to_the_driver(spark, monkeypatch):
     assert of and all(of[i] == of[i - i % 3] for i in of)
     joins = [line for p in plans for line in p.splitlines() if "Join " in line]
     assert len(joins) > 9 and not any("BroadcastHashJoin" in line and ("part" in line or "e1" in line or "row_id" in line) for line in joins)
+
+
+def test_chunks_travel_to_a_few_groups_only(spark, monkeypatch):
+    """Each pair of chunks used to be laid out and shuffled: the square of a block's rows."""
+    from strandframe.operators import matrix as mx
+    from strandframe.operators import stats as st
+
+    for name, v in (("BLOCK_ROWS", 5), ("GROUPS", 2), ("GROUP_CHUNKS", 3)):
+        monkeypatch.setattr(st, name, v)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        rows += [(i, int(j), 1) for j in rng.choice(16, 5 if i < 75 else 6, replace=False)]
+    packed = mx.pack(spark.createDataFrame(rows, "row_id long, col_id int, x int"), 16).cache()
+    right = packed.select("row_id", F.col("ones").alias("n2"), "bits")
+    left = packed.select("row_id", F.col("ones").alias("n1"), F.col("ones").alias("n2"), "bits")
+    met = st._met(left, right).collect()
+    chunks = {side: sorted(len(r.ids) for r in met if r.n1 == 5 and r.right == side) for side in (False, True)}
+    groups = {r.grp for r in met if r.n1 == 5}
+    assert sum(chunks[False]) == 75 and len(chunks[False]) <= 15 and len(groups) <= 5
+    assert sum(chunks[True]) == 75 * len(groups) and len(met) < 15 * 15
+    # Every row still meets all others, whatever the group it is in.
+    bits = np.zeros((90, 16), bool)
+    for i, j, _ in rows:
+        bits[i, j] = True
+    d, ones = (bits[:, None] != bits[None]).sum(axis=2), bits.sum(axis=1)
+    want = {(i, int(ones[i]), int(ones[i]), int(x), n) for i in range(90) for x, n in zip(*np.unique(d[i][(ones == ones[i]) & (np.arange(90) != i)], return_counts=True), strict=True)}
+    assert {tuple(map(int, r)) for r in st.distance_histogram(packed, 16, (0,)).collect()} == {tuple(map(int, w)) for w in want}
+    cuts = packed.select(F.col("row_id").alias("r1"), F.col("ones").alias("n2"), F.lit(4).alias("cut"))
+    assert {tuple(r) for r in st.near_pairs(packed, cuts).collect()} == {(i, j) for i in range(90) for j in range(i + 1, 90) if ones[i] == ones[j] and d[i, j] <= 4}
