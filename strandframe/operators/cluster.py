@@ -53,6 +53,53 @@ class Table:
         return float(self.s.sum() - (block * block / np.maximum(cells, 1)).sum())
 
 
+    def sums(self) -> Table | Sums:
+        """What ``sse`` needs: the table, or where it has more rows than columns its products of columns."""
+        return self if len(self.n) <= self.s.shape[1] else Sums(float(self.s.sum()), self.s.T @ (self.s / self.n[:, None]))
+
+
+@dataclass
+class Sums:
+    """The sum of all s, and sums over row clusters of s_a * s_b / n for columns a and b: the residual of any column
+    clusters comes from these, so a search takes as long for many row clusters as for a few."""
+
+    total: float
+    products: np.ndarray
+
+    @classmethod
+    def collect(cls, stats: DataFrame, tasks: int = 64) -> Sums:
+        """Of (cluster, col_id, n, s), which has every column of each cluster; only sums of tasks reach the driver."""
+        wide = stats.groupBy("cluster").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("col_id", "s"))), lambda x: x["s"].cast("double")).alias("s"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, products = 0.0, 0.0
+            for b in batches:
+                if b.num_rows:
+                    s = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+                    total, products = total + s.sum(), products + s.T @ (s / b.column(1).to_numpy().astype(float)[:, None])
+            if np.ndim(products):
+                yield pa.RecordBatch.from_arrays([b.column(0)[:1].cast(pa.int64()), pa.array([total]), pa.array([products.ravel().tolist()])], ["first", "total", "products"])
+
+        ship(stats.sparkSession)
+        # Sums are added up in one order whichever task ends first.
+        found = wide.repartition(tasks, "cluster").sortWithinPartitions("cluster").mapInArrow(run, "first long, total double, products array<double>").collect()
+        found.sort(key=lambda r: r.first)
+        if not found:
+            raise ValueError("no row clusters")
+        n = math.isqrt(len(found[0].products))
+        return cls(sum(r.total for r in found), np.sum([r.products for r in found], axis=0).reshape(n, n))
+
+    def sums(self) -> Sums:
+        return self
+
+    def sse(self, labels: np.ndarray) -> float:
+        """Residual of 0/1 data around block means."""
+        member = np.zeros((len(labels), int(labels.max()) + 1))
+        member[np.arange(len(labels)), labels] = 1
+        inside = ((self.products @ member) * member).sum(axis=0)
+        return float(self.total - (inside / np.maximum(member.sum(axis=0), 1)).sum())
+
+
 @dataclass
 class Tree:
     """parent[v] (-1 at the root); vertices are columns."""
@@ -193,8 +240,8 @@ def _spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
 
 
-def random_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n: int, seed: int = 0) -> DataFrame:
-    sent = spark.sparkContext.broadcast((tree, table))
+def random_starts(spark: SparkSession, tree: Tree, table: Table | Sums, ks: list[int], n: int, seed: int = 0) -> DataFrame:
+    sent = spark.sparkContext.broadcast((tree, table.sums()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,12 +255,12 @@ def random_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int],
     return _spread(spark, [(k, i) for k in ks for i in range(n)], "k int, start_id int").mapInPandas(run, FIT)
 
 
-def scored_cuts(spark: SparkSession, tree: Tree, table: Table, k: int) -> DataFrame:
+def scored_cuts(spark: SparkSession, tree: Tree, table: Table | Sums, k: int) -> DataFrame:
     """(combo, residual) of every choice of k - 1 qualified vertices; the choices are
     named by number and made in the tasks."""
     spots = tree.qualified()
     total = math.comb(len(spots), k - 1)
-    sent = spark.sparkContext.broadcast((tree, table, spots))
+    sent = spark.sparkContext.broadcast((tree, table.sums(), spots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, table, spots = sent.value
@@ -299,10 +346,10 @@ def diverse_cuts(tree: Tree, table: Table, size: int, n: int) -> list[tuple[floa
     return taken
 
 
-def smart_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n: int) -> DataFrame:
+def smart_starts(spark: SparkSession, tree: Tree, table: Table | Sums, ks: list[int], n: int) -> DataFrame:
     """Per k the n cut choices of ``diverse_cuts``, each k in a task of its own; none for a k
     that asks for more cuts than there are qualified vertices."""
-    sent = spark.sparkContext.broadcast((tree, table))
+    sent = spark.sparkContext.broadcast((tree, table.sums()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, table = sent.value
@@ -316,10 +363,10 @@ def smart_starts(spark: SparkSession, tree: Tree, table: Table, ks: list[int], n
     return _spread(spark, [(k,) for k in ks], "k int").mapInPandas(run, FIT)
 
 
-def fits(starts: DataFrame, tree: Tree, table: Table, seed: int = 0) -> DataFrame:
+def fits(starts: DataFrame, tree: Tree, table: Table | Sums, seed: int = 0) -> DataFrame:
     """Every start brought to a local optimum, one task for each as slots allow."""
     spark = starts.sparkSession
-    sent = spark.sparkContext.broadcast((tree, table))
+    sent = spark.sparkContext.broadcast((tree, table.sums()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

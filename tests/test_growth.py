@@ -378,3 +378,50 @@ def test_chunks_travel_to_a_few_groups_only(spark, monkeypatch):
     assert {tuple(map(int, r)) for r in st.distance_histogram(packed, 16, (0,)).collect()} == {tuple(map(int, w)) for w in want}
     cuts = packed.select(F.col("row_id").alias("r1"), F.col("ones").alias("n2"), F.lit(4).alias("cut"))
     assert {tuple(r) for r in st.near_pairs(packed, cuts).collect()} == {(i, j) for i in range(90) for j in range(i + 1, 90) if ones[i] == ones[j] and d[i, j] <= 4}
+
+
+@pytest.mark.parametrize("bits", [5, 9])
+def test_large_blocks_of_few_columns_are_counted_on_a_grid(spark, monkeypatch, bits):
+    """All pairs of rows used to be looked at, however few columns they have."""
+    from strandframe.operators import matrix as mx
+    from strandframe.operators import stats as st
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(j), 1) for i in range(300) for j in np.flatnonzero(rng.random(9) < 0.5)]
+    packed = mx.pack(spark.createDataFrame(rows, "row_id long, col_id int, x int"), 9).withColumn("n", F.col("row_id") % 4 + 1).cache()
+    for weight in (None, "n"):
+        seen = lambda: sorted((r.r1, r.n1, r.n2, *r.counts) for r in st.distance_counts(packed, 9, 1, 8, weight=weight).collect())  # noqa: B023, E731
+        monkeypatch.setattr(st, "GRID_COLS", 0)
+        want = seen()
+        monkeypatch.setattr(st, "GRID_COLS", 9)
+        monkeypatch.setattr(st, "GRID_BITS", bits)
+        monkeypatch.setattr(st, "GRID_PAIR", 4)
+        assert 0 < len(st._grid_blocks(packed, 9, (0, 1))) < 9
+        assert seen() == want
+
+
+def test_searches_take_no_longer_for_many_row_clusters(spark, monkeypatch):
+    """Each look at a choice of cuts went over all row clusters, which all were on the driver."""
+    from strandframe.operators import cluster as cl
+    from strandframe.operators import matrix as mx
+    from strandframe.plans.workflow import Workflow
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 50, 400)
+    s = rng.integers(0, n[:, None] + 1, (400, 7))
+    table = cl.Table(n.astype(float), s.astype(float))
+    stats = spark.createDataFrame([(r, c, int(n[r]), int(s[r, c])) for r in range(400) for c in range(7)], "cluster int, col_id int, n long, s long")
+    for sums in (table.sums(), cl.Sums.collect(stats, 5)):
+        assert isinstance(sums, cl.Sums) and sums.products.shape == (7, 7)
+        for labels in ([0, 0, 1, 1, 2, 0, 2], [0] * 7, list(range(7))):
+            assert sums.sse(np.array(labels)) == pytest.approx(table.sse(np.array(labels)))
+    # Statistics of the workflow, now from rows of bits, are those of the cells.
+    cells = spark.createDataFrame([(i, j, int((i % 4 + 1) * (j + 1) % 3 == 0)) for i in range(40) for j in range(7)], "row_id long, col_id int, x int")
+    flow = Workflow(spark, str(__import__("tempfile").mkdtemp(prefix="run-")), cells, cl.Tree([-1, 0, 0, 1, 1, 2, 2]))
+    labels = spark.range(40).select(F.col("id").alias("row"), (F.col("id") % 2).cast("int").alias("cluster"))
+    monkeypatch.setattr(flow, "clusters", lambda: labels)
+    flow.cluster_sizes = lambda least: labels.select("cluster").distinct()
+    want = mx.column_stats(cells.join(labels.withColumnRenamed("row", "row_id"), "row_id"))
+    assert sorted(map(tuple, flow.stats().collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(cl.Table, "collect", lambda stats: pytest.fail("all row clusters on the driver"))
+    assert flow.fits().count() > 0
