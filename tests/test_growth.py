@@ -425,3 +425,19 @@ def test_searches_take_no_longer_for_many_row_clusters(spark, monkeypatch):
     assert sorted(map(tuple, flow.stats().collect())) == sorted(map(tuple, want.collect()))
     monkeypatch.setattr(cl.Table, "collect", lambda stats: pytest.fail("all row clusters on the driver"))
     assert flow.fits().count() > 0
+
+
+def test_kmers_get_more_tasks_as_letters_grow(spark, monkeypatch):
+    """The session's number of tasks held all k-mers, however many: they were spilled and sorted."""
+    from strandframe import runtime
+    from strandframe.functions import sequence as sq
+
+    seqs = spark.createDataFrame([("ACGTTGCA" * 40,), ("GATTACA" * 30,), (None,), ("AC",)], "seq string")
+    asked = []
+    monkeypatch.setattr(sq, "tasks_for", lambda s, rows: asked.append(rows) or runtime.tasks_for(s, rows))
+    few = {r.kmer: r.n for r in sq.kmer_counts(seqs, 5).collect()}
+    monkeypatch.setattr(runtime, "TASK_ROWS", 50)
+    many = sq.kmer_counts(seqs, 5)
+    assert asked == [316 + 206] * 2 and many.rdd.getNumPartitions() == 11
+    assert {r.kmer: r.n for r in many.collect()} == few and sum(few.values()) == 316 + 206
+    assert sq.kmer_counts(seqs.where("seq is null"), 5).count() == 0
